@@ -46,7 +46,12 @@ def word_count(column: str | Column) -> Column:
 
 def non_stop_word_count(column: str | Column, stop: Sequence[str] = STOP_WORDS) -> Column:
     """Words outside the stop list, compared in lower case."""
-    return F.size(F.filter(words(F.lower(column)), lambda w: ~w.isin(*stop)))
+    return count_non_stop(words(column), stop)
+
+
+def count_non_stop(found: Column, stop: Sequence[str] = STOP_WORDS) -> Column:
+    """Items of a word array outside the stop list."""
+    return F.size(F.filter(found, lambda w: ~F.lower(w).isin(*stop)))
 
 
 def unique_word_count(column: str | Column) -> Column:

@@ -45,40 +45,66 @@ def hours_since_previous(
     return lagged.withColumn("hours_since_published", hours).drop("_before")
 
 
+# Texts that are two others with a space between: their words are the words of both.
+JOINED = {"text": ("headline", "summary")}
+
+
+def _parts(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[str, ...]]:
+    """The columns to cut into words for each text."""
+    return {c: JOINED[c] if c in JOINED and set(JOINED[c]) <= set(df.columns) else (c,) for c in columns}
+
+
 def word_features(df: DataFrame, columns: Sequence[str] = TEXTS) -> DataFrame:
-    """Word, non-stop-word and distinct-word counts of each text column."""
+    """Word, non-stop-word and distinct-word counts of each text column.
+
+    Each text is cut into words once; a joined text reuses the words of its parts.
+    """
+    parts = _parts(df, columns)
+    cut = sorted({p for group in parts.values() for p in group})
+    split = df.withColumns({f"_words_{p}": text.words(p) for p in cut})
     counts: dict[str, Column] = {}
-    for c in columns:
-        counts[f"{c}_word_count"] = text.word_count(c)
-        counts[f"{c}_non_stop_word_count"] = text.non_stop_word_count(c)
-        counts[f"{c}_unique_word_count"] = text.unique_word_count(c)
-    return df.withColumns(counts)
+    for c, group in parts.items():
+        found = F.concat(*[f"_words_{p}" for p in group])
+        counts[f"{c}_word_count"] = F.size(found)
+        counts[f"{c}_non_stop_word_count"] = text.count_non_stop(found)
+        counts[f"{c}_unique_word_count"] = F.size(F.array_distinct(found))
+    return split.withColumns(counts).drop(*[f"_words_{p}" for p in cut])
 
 
-def lexicon_score(df: DataFrame, key: str, column: str, lexicon: DataFrame) -> DataFrame:
-    """Mean polarity and subjectivity of the words of ``column`` found in a lexicon.
+def lexicon_scores(df: DataFrame, key: str, columns: Sequence[str], lexicon: DataFrame) -> DataFrame:
+    """Mean polarity and subjectivity of the words of each text found in a lexicon.
 
     ``lexicon`` has ``word``, ``polarity`` and ``subjectivity`` with one row per
-    word. Words are counted per text before the join. A text without a known word
-    scores 0 on both.
+    word, and ``key`` is unique. Words of all texts are counted before one join,
+    and the sums of a joined text are those of its parts. A text without a known
+    word scores 0 on both.
     """
-    tokens = df.select(key, F.explode(text.words(F.lower(column))).alias("word"))
-    counted = tokens.groupBy(key, "word").agg(F.count("*").alias("times"))
+    parts = _parts(df, columns)
+    cut = sorted({p for group in parts.values() for p in group})
+    listed = F.array(*[F.struct(F.lit(i).alias("place"), F.col(p).alias("body")) for i, p in enumerate(cut)])
+    texts = df.select(key, F.explode(listed).alias("text"))
+    tokens = texts.select(key, "text.place", F.explode(text.words(F.lower("text.body"))).alias("word"))
+    counted = tokens.groupBy(key, "place", "word").agg(F.count("*").alias("times"))
     scored = counted.join(lexicon.select("word", "polarity", "subjectivity"), "word")
-    sums = scored.groupBy(key).agg(
-        (F.sum(F.col("polarity") * F.col("times")) / F.sum("times")).alias("_polarity"),
-        (F.sum(F.col("subjectivity") * F.col("times")) / F.sum("times")).alias("_subjectivity"),
-    )
-    return (
-        df.join(sums, key, "left")
-        .withColumns(
-            {
-                f"{column}_sentiment": F.coalesce("_polarity", F.lit(0.0)),
-                f"{column}_subjectivity": F.coalesce("_subjectivity", F.lit(0.0)),
-            }
-        )
-        .drop("_polarity", "_subjectivity")
-    )
+    sums = []
+    for i, p in enumerate(cut):
+        here = F.when(F.col("place") == i, F.col("times"))
+        sums += [
+            F.sum(here).alias(f"_n_{p}"),
+            F.sum(here * F.col("polarity")).alias(f"_p_{p}"),
+            F.sum(here * F.col("subjectivity")).alias(f"_s_{p}"),
+        ]
+    joined = df.join(scored.groupBy(key).agg(*sums), key, "left")
+
+    def mean(kind: str, group: tuple[str, ...]) -> Column:
+        total, words = (sum((F.coalesce(f"_{k}_{p}", F.lit(0)) for p in group), F.lit(0)) for k in (kind, "n"))
+        return F.coalesce(F.try_divide(total, words), F.lit(0.0))
+
+    scores = {}
+    for c, group in parts.items():
+        scores[f"{c}_sentiment"] = mean("p", group)
+        scores[f"{c}_subjectivity"] = mean("s", group)
+    return joined.withColumns(scores).drop(*[f"_{k}_{p}" for k in "nps" for p in cut])
 
 
 def domain_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:

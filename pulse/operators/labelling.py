@@ -81,7 +81,7 @@ def project_index(daily: DataFrame, steps: int = 6) -> DataFrame:
         F.avg("facebook_interactions").alias("_mean"),
         F.max("day").alias("_last"),
     )
-    ahead = lines.withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(steps))).cast("long"))
+    ahead = lines.withColumn("day", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(steps).cast("long"))))
     line = F.col("_start") + F.col("_slope") * (F.col("_last") + F.col("day"))
     return ahead.select("article_index", "day", F.coalesce(line, F.col("_mean")).alias("forecast"))
 

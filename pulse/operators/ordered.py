@@ -115,9 +115,18 @@ def with_fill(
 
 
 def with_running_total(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, name: str, hot_rows: int = HOT_ROWS
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    column: str,
+    name: str,
+    hot_rows: int = HOT_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
-    """Sum of ``column`` from the start of the group up to and including each row."""
+    """Sum of ``column`` from the start of the group up to and including each row.
+
+    Without keys, a caller that knows the number of rows can pass it to save a count.
+    """
 
     def plain(part: DataFrame) -> DataFrame:
         window = Window.partitionBy(*keys).orderBy(*order_by(order)).rowsBetween(Window.unboundedPreceding, 0)
@@ -131,7 +140,7 @@ def with_running_total(
         joined = _match(part.withColumn(name, F.sum(column).over(inside)), tails, [*keys, "_slice"])
         return joined.withColumn(name, F.col(name) + F.col("_offset")).drop("_offset")
 
-    return _by_size(df, keys, order, plain, sliced, hot_rows)
+    return _by_size(df, keys, order, plain, sliced, hot_rows, rows)
 
 
 def exact_quantiles(
@@ -149,12 +158,12 @@ def exact_quantiles(
         .groupBy("value")
         .count()
     )
-    total = counts.agg(F.sum("count")).first()[0]
+    total, different = counts.agg(F.sum("count"), F.count("*")).first()
     if not total:
         return [math.nan] * len(probabilities)
     spots = [p * (total - 1) for p in probabilities]
     ranks = sorted({r for s in spots for r in (math.floor(s), math.ceil(s))})
-    running = with_running_total(counts, [], ["value"], "count", "upto", hot_rows)
+    running = with_running_total(counts, [], ["value"], "count", "upto", hot_rows, different)
     wanted = F.filter(
         F.lit(ranks).cast("array<bigint>"), lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("count"))
     )
@@ -194,9 +203,10 @@ def _by_size(
     plain: Callable[[DataFrame], DataFrame],
     sliced: Callable[[DataFrame], DataFrame],
     hot_rows: int,
+    rows: int | None = None,
 ) -> DataFrame:
     if not keys:
-        rows = df.count()
+        rows = df.count() if rows is None else rows
         return plain(df) if rows <= hot_rows else _slice(df, keys, order, rows, sliced, hot_rows)
     hot = df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot_rows)
     if hot.isEmpty():

@@ -73,13 +73,17 @@ class MinMaxModel:
         return df.withColumns({c: model.expression() for c, model in self.bounds.items()})
 
 
-def yeo_johnson(column: str | Column, power: float) -> Column:
+def yeo_johnson(column: str | Column, power: float | Column) -> Column:
     """Yeo-Johnson transform of a column for a given power."""
     x = (F.col(column) if isinstance(column, str) else column).cast("double")
-    up = F.log1p(x) if abs(power) < 1e-12 else (F.pow(x + 1, F.lit(power)) - 1) / F.lit(power)
-    rest = 2 - power
-    down = -F.log1p(-x) if abs(rest) < 1e-12 else -(F.pow(1 - x, F.lit(rest)) - 1) / F.lit(rest)
-    return F.when(x >= 0, up).otherwise(down)
+    power = power if isinstance(power, Column) else F.lit(float(power))
+
+    def boxed(base: Column, exponent: Column) -> Column:
+        # Logarithm at exponent 0; elsewhere (base^exponent - 1) / exponent.
+        flat = F.abs(exponent) < 1e-12
+        return F.when(flat, F.ln(base)).otherwise(F.try_divide(F.pow(base, exponent) - 1, exponent))
+
+    return F.when(x >= 0, boxed(x + 1, power)).otherwise(-boxed(1 - x, 2 - power))
 
 
 @dataclass(frozen=True)
@@ -101,25 +105,29 @@ def fit_power(df: DataFrame, column: str, rounds: int = 6, grid: int = 41) -> Po
     Each round evaluates a grid of powers in one aggregation over the data and the
     next round narrows around the best one; only one row per round comes back.
     """
-    x = F.col(column).cast("double")
-    known = df.where(x.isNotNull())
+    known = df.select(F.col(column).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    x = F.col("_x")
+    rows, logs, mean = known.agg(F.count("*"), F.sum(F.signum(x) * F.log1p(F.abs(x))), F.avg(x)).first()
     center, reach = 0.0, 2.0
     for _ in range(rounds):
         powers = [center - reach + 2 * reach * i / (grid - 1) for i in range(grid)]
-        row = known.agg(
-            F.count("*"),
-            F.sum(F.signum(x) * F.log1p(F.abs(x))),
-            *[F.var_pop(yeo_johnson(x, p)) for p in powers],
-        ).first()
-        rows, logs, spreads = row[0], row[1], row[2:]
-        if not rows or not any(s for s in spreads):
-            return PowerModel(column, 1.0, ScalerModel(column, known.agg(F.avg(x)).first()[0] or 0.0, 0.0))
-        scores = [-rows / 2 * math.log(s) + (p - 1) * logs if s else -math.inf for p, s in zip(powers, spreads)]
+        tried = known.withColumn("_power", F.explode(F.lit(powers)))
+        spreads = {
+            row["_power"]: row["spread"]
+            for row in tried.groupBy("_power").agg(F.var_pop(yeo_johnson(x, F.col("_power"))).alias("spread")).collect()
+        }
+        if not any(spreads.values()):
+            return PowerModel(column, 1.0, ScalerModel(column, mean or 0.0, 0.0))
+        scores = [
+            -rows / 2 * math.log(spreads[p]) + (p - 1) * logs if spreads.get(p) else -math.inf for p in powers
+        ]
         best = max(range(grid), key=scores.__getitem__)
         center = powers[best]
         # At the edge of the grid the optimum may lie outside: move on without narrowing.
         if 0 < best < grid - 1:
             reach = 2 * reach / (grid - 1)
+        if reach < 1e-6:
+            break
     mean, spread = known.agg(F.avg(yeo_johnson(x, center)), F.stddev_pop(yeo_johnson(x, center))).first()
     return PowerModel(column, center, ScalerModel(column, mean, spread))
 
@@ -154,17 +162,25 @@ def fit_quantiles(df: DataFrame, column: str, most: int = 1000, hot_rows: int =
     return QuantileModel(column, marks)
 
 
-# Scaled columns of the labelled frame: suffix and scaler.
-_SUFFIXES = {"s_scaled": "standard", "mm_scaled": "minmax", "r_scaled": "robust"}
-
-
 def normalise(df: DataFrame, columns: tuple[str, ...] = ("mean", "gradient")) -> DataFrame:
-    """Add every scaled form of the columns. ``df`` is read once per statistic, so settle it first."""
+    """Add every scaled form of the columns.
+
+    Means, deviations and ends of all columns come from one pass; quartiles and
+    quantiles from one pass per column. ``df`` is read several times, so settle it first.
+    """
+    statistics = (F.avg, F.stddev_pop, F.min, F.max)
+    row = df.agg(*[f(F.col(c).cast("double")) for c in columns for f in statistics]).first()
+    added: dict[str, Column] = {}
     result = df
-    for column in columns:
-        for suffix, kind in _SUFFIXES.items():
-            result = fit_scaler(df, column, kind).transform(result, f"{column}_{suffix}")
+    for place, column in enumerate(columns):
+        mean, spread, low, high = row[4 * place : 4 * place + 4]
+        rows = df.where(F.col(column).isNotNull()).count()
+        spots = [float(p) for p in np.linspace(0, 1, max(1, min(1000, rows)))]
+        *marks, first, middle, third = exact_quantiles(df, column, [*spots, 0.25, 0.5, 0.75])
+        added[f"{column}_s_scaled"] = ScalerModel(column, mean or 0.0, spread or 0.0).expression()
+        added[f"{column}_mm_scaled"] = ScalerModel(column, low or 0.0, (high - low) if rows else 0.0).expression()
+        added[f"{column}_r_scaled"] = ScalerModel(column, middle, third - first).expression()
+        added[f"{column}_log"] = values.natural_log(column)
         result = fit_power(df, column).transform(result, f"{column}_pt_scaled")
-        result = fit_quantiles(df, column).transform(result, f"{column}_qt_scaled")
-        result = result.withColumn(f"{column}_log", values.natural_log(column))
-    return result
+        result = QuantileModel(column, marks).transform(result, f"{column}_qt_scaled")
+    return result.withColumns(added)

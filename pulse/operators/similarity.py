@@ -17,9 +17,17 @@ CHAIN_ROWS = 50_000
 
 
 def with_similarity(df: DataFrame, seed: DataFrame, vector: str = "vector", output: str = "similarity") -> DataFrame:
-    """Cosine similarity of every row to the one vector of ``seed``."""
-    reference = seed.select(F.col(vector)).scalar()
-    return df.withColumn(output, values.cosine(vector, reference))
+    """Cosine similarity of every row to the one vector of ``seed``.
+
+    The seed is a single row, so it becomes a constant of the plan.
+    """
+    row = seed.select(vector).first()
+    if row is None:
+        raise ValueError("the seed is empty")
+    reference = np.asarray(row[0], dtype="float64")
+    length = float(np.linalg.norm(reference))
+    unit = F.lit((reference / length if length else reference).tolist())
+    return df.withColumn(output, F.coalesce(F.try_divide(values.dot(vector, unit), values.norm(vector)), F.lit(0.0)))
 
 
 def top_article(df: DataFrame, key: str, interactions: str = "facebook_interactions") -> DataFrame:

@@ -57,8 +57,7 @@ def engineer_features(
     timed = features.timing_features(features.hours_since_previous(joined, "article_index", ties, hot_rows))
     counted = features.word_features(timed)
     if lexicon is not None:
-        for column in features.TEXTS:
-            counted = features.lexicon_score(counted, key, column, lexicon)
+        counted = features.lexicon_scores(counted, key, features.TEXTS, lexicon)
     return counted.dropna()
 
 
