@@ -10,10 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Characters that separate words: every Unicode white-space character plus the
-# four information separators, as in Python's ``str.split``.
-SPACE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
-WORD = f"[^{SPACE}]+"
+# A run of characters between spaces: Unicode white space and the four information
+# separators end a word, as in Python's ``str.split``.
+WORD = r"(?U)[^\s\x1c-\x1f]+"
 
 # The 179 English stop words of the common NLP word list.
 STOP_WORDS = (

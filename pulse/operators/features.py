@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,30 +64,42 @@ def word_features(df: DataFrame, columns: Sequence[str] = TEXTS) -> DataFrame:
     parts = _parts(df, columns)
     cut = sorted({p for group in parts.values() for p in group})
     split = df.withColumns({f"_words_{p}": text.words(p) for p in cut})
-    counts: dict[str, Column] = {}
+    counted = split.withColumns(
+        {f"_{kind}_{p}": count(F.col(f"_words_{p}")) for p in cut for kind, count in (("all", F.size), ("rare", text.count_non_stop))}
+    )
+    results: dict[str, Column] = {}
     for c, group in parts.items():
-        found = F.concat(*[f"_words_{p}" for p in group])
-        counts[f"{c}_word_count"] = F.size(found)
-        counts[f"{c}_non_stop_word_count"] = text.count_non_stop(found)
-        counts[f"{c}_unique_word_count"] = F.size(F.array_distinct(found))
-    return split.withColumns(counts).drop(*[f"_words_{p}" for p in cut])
+        # Counts of a joined text add up; only its distinct words need both parts.
+        results[f"{c}_word_count"] = reduce(add, [F.col(f"_all_{p}") for p in group])
+        results[f"{c}_non_stop_word_count"] = reduce(add, [F.col(f"_rare_{p}") for p in group])
+        results[f"{c}_unique_word_count"] = F.size(F.array_distinct(F.concat(*[f"_words_{p}" for p in group])))
+    return counted.withColumns(results).drop(*[f"_{k}_{p}" for p in cut for k in ("words", "all", "rare")])
+
+
+# Most words of a lexicon that every task may hold; more are joined by a shuffle.
+LEXICON_ROWS = 200_000
 
 
 def lexicon_scores(df: DataFrame, key: str, columns: Sequence[str], lexicon: DataFrame) -> DataFrame:
     """Mean polarity and subjectivity of the words of each text found in a lexicon.
 
     ``lexicon`` has ``word``, ``polarity`` and ``subjectivity`` with one row per
-    word, and ``key`` is unique. Words of all texts are counted before one join,
-    and the sums of a joined text are those of its parts. A text without a known
-    word scores 0 on both.
+    word, and ``key`` is unique. A lexicon of checked, moderate size is sent to all
+    tasks, which then sum per text before the shuffle; for a larger one, words are
+    counted per text first. The sums of a joined text are those of its parts. A text
+    without a known word scores 0 on both.
     """
     parts = _parts(df, columns)
     cut = sorted({p for group in parts.values() for p in group})
     listed = F.array(*[F.struct(F.lit(i).alias("place"), F.col(p).alias("body")) for i, p in enumerate(cut)])
     texts = df.select(key, F.explode(listed).alias("text"))
     tokens = texts.select(key, "text.place", F.explode(text.words(F.lower("text.body"))).alias("word"))
-    counted = tokens.groupBy(key, "place", "word").agg(F.count("*").alias("times"))
-    scored = counted.join(lexicon.select("word", "polarity", "subjectivity"), "word")
+    scores = lexicon.select("word", "polarity", "subjectivity")
+    if lexicon.limit(LEXICON_ROWS + 1).count() <= LEXICON_ROWS:
+        scored = tokens.withColumn("times", F.lit(1)).join(F.broadcast(scores), "word")
+    else:
+        counted = tokens.groupBy(key, "place", "word").agg(F.count("*").alias("times"))
+        scored = counted.join(scores, "word")
     sums = []
     for i, p in enumerate(cut):
         here = F.when(F.col("place") == i, F.col("times"))
@@ -100,11 +114,11 @@ def lexicon_scores(df: DataFrame, key: str, columns: Sequence[str], lexicon: Dat
         total, words = (sum((F.coalesce(f"_{k}_{p}", F.lit(0)) for p in group), F.lit(0)) for k in (kind, "n"))
         return F.coalesce(F.try_divide(total, words), F.lit(0.0))
 
-    scores = {}
+    results = {}
     for c, group in parts.items():
-        scores[f"{c}_sentiment"] = mean("p", group)
-        scores[f"{c}_subjectivity"] = mean("s", group)
-    return joined.withColumns(scores).drop(*[f"_{k}_{p}" for k in "nps" for p in cut])
+        results[f"{c}_sentiment"] = mean("p", group)
+        results[f"{c}_subjectivity"] = mean("s", group)
+    return joined.withColumns(results).drop(*[f"_{k}_{p}" for k in "nps" for p in cut])
 
 
 def domain_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:

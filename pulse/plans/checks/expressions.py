@@ -137,8 +137,22 @@ def bin_features(spark, folder):
   CAST(len(list_distinct({words_sql('text')})) AS INTEGER) AS unique_words FROM documents""",
 )
 def word_counts(spark, folder):
-    return a.table(spark, folder, "documents").select(
+    rows = features.word_features(a.table(spark, folder, "documents"), ["text"])
+    return rows.select(
         "doc_id",
+        F.col("text_word_count").alias("words"),
+        F.col("text_non_stop_word_count").alias("non_stop_words"),
+        F.col("text_unique_word_count").alias("unique_words"),
+    )
+
+
+@check("f07_word_expressions", f"""SELECT conv_id, turn, CAST(len({words_sql('text')}) AS INTEGER) AS words,
+  CAST(len(list_filter({words_sql('lower(text)')}, lambda w: w NOT IN ({_STOP}))) AS INTEGER) AS non_stop_words,
+  CAST(len(list_distinct({words_sql('text')})) AS INTEGER) AS unique_words FROM conversations""")
+def word_expressions(spark, folder):
+    return a.table(spark, folder, "conversations").select(
+        "conv_id",
+        "turn",
         text.word_count("text").alias("words"),
         text.non_stop_word_count("text").alias("non_stop_words"),
         text.unique_word_count("text").alias("unique_words"),
