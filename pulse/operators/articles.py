@@ -114,7 +114,7 @@ def topic_summary(df: DataFrame, priorities: Sequence[str]) -> DataFrame:
     )
 
 
-def topic_items(df: DataFrame, priorities: Sequence[str], page_rows: int = 10_000) -> DataFrame:
+def topic_items(df: DataFrame, priorities: Sequence[str], page_rows: int = 1_000) -> DataFrame:
     """Headlines, captions and links per main topic, most engaging first, in pages."""
     topics = with_main_topic(df.where(F.col("subindex").isNotNull()), priorities)
     return paged_lists(
@@ -162,7 +162,7 @@ def daily_label_stats(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def daily_label_subindexes(df: DataFrame, column: str, page_rows: int = 10_000) -> DataFrame:
+def daily_label_subindexes(df: DataFrame, column: str, page_rows: int = 1_000) -> DataFrame:
     """Sorted set of subindexes per label and day, in pages."""
     long = labels_long(df, column).select(column, F.to_date("published").alias("day"), "subindex")
     names = long.where(F.col("subindex").isNotNull()).distinct()

@@ -181,7 +181,7 @@ def paged_lists(
     keys: Sequence[str],
     order: Sequence[str],
     columns: dict[str, str],
-    page_rows: int = 10_000,
+    page_rows: int = 1_000,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Ordered lists per group, cut into pages of at most ``page_rows`` items.

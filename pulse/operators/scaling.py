@@ -99,7 +99,7 @@ class PowerModel:
         return df.withColumn(output, (plain - F.lit(self.scaler.center)) / F.lit(self.scaler.spread or 1.0))
 
 
-def fit_power(df: DataFrame, column: str, rounds: int = 6, grid: int = 41) -> PowerModel:
+def fit_power(df: DataFrame, column: str, rounds: int = 30, grid: int = 41) -> PowerModel:
     """Find the power with the highest likelihood, then standardise.
 
     Each round evaluates a grid of powers in one aggregation over the data and the

@@ -121,12 +121,12 @@ ARTICLES = f"""arts AS (
 
 
 def taxonomy(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "nation").join(table(spark, folder, "region"), F.expr("n_regionkey = r_regionkey"))
-    return rows.select("n_nationkey", F.col("r_name").alias("theme"), F.col("n_name").alias("index"))
+    return table(spark, folder, "part").select(
+        "p_partkey", F.col("p_type").alias("theme"), F.concat("p_type", F.lit(" "), "p_name").alias("index")
+    )
 
 
-TAXONOMY = """taxo AS (
-  SELECT n_nationkey, r_name AS theme, n_name AS "index" FROM nation JOIN region ON n_regionkey = r_regionkey)"""
+TAXONOMY = """taxo AS (SELECT p_partkey, p_type AS theme, p_type || ' ' || p_name AS "index" FROM part)"""
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:

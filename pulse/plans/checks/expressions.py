@@ -24,9 +24,9 @@ def words_sql(column: str) -> str:
     return f"regexp_extract_all({column}, '{_WORD}')"
 
 
-@check("f01_fold", "SELECT n_nationkey, lower(n_name) AS name FROM nation")
+@check("f01_fold", "SELECT c_custkey, lower(c_name) AS name FROM customer")
 def fold(spark, folder):
-    return a.table(spark, folder, "nation").select("n_nationkey", text.fold("n_name").alias("name"))
+    return a.table(spark, folder, "customer").select("c_custkey", text.fold("c_name").alias("name"))
 
 
 @check("f02_sanitise", "SELECT c_custkey AS customer_key, c_name AS link_url FROM customer")

@@ -239,9 +239,9 @@ def assign_group_labels(spark, folder):
     return done.select("facebook_link", "subindex", joined("themes").alias("themes"))
 
 
-@check("p18_drop_last", a.using(a.TAXONOMY) + 'SELECT n_nationkey, theme, "index" FROM taxo WHERE n_nationkey < (SELECT max(n_nationkey) FROM taxo)')
+@check("p18_drop_last", a.using(a.TAXONOMY) + 'SELECT p_partkey, theme, "index" FROM taxo WHERE p_partkey < (SELECT max(p_partkey) FROM taxo)')
 def drop_last(spark, folder):
-    return ranking.drop_last(a.taxonomy(spark, folder), "n_nationkey")
+    return ranking.drop_last(a.taxonomy(spark, folder), "p_partkey")
 
 
 @check("p19_drop_columns", a.using(a.SNAPS) + "SELECT event_id, link, theme FROM snaps")
