@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from pulse.session import settle
 
-# Rows one task may order. At a few hundred bytes a row this is below 1 GB.
-HOT_ROWS = 2_000_000
+# Rows one task may order: below 1 GB for rows of a few hundred bytes. Sorting
+# spills, so wider rows still work; callers can pass a smaller number.
+HOT_ROWS = 1_000_000
 
 
 def order_by(order: Sequence[str]) -> list[Column]:

@@ -103,7 +103,7 @@ def fit_power(df: DataFrame, column: str, rounds: int = 30, grid: int = 41) -> P
     """Find the power with the highest likelihood, then standardise.
 
     Each round evaluates a grid of powers in one aggregation over the data and the
-    next round narrows around the best one; only one row per round comes back.
+    next round narrows around the best one; one row per power comes back.
     """
     known = df.select(F.col(column).cast("double").alias("_x")).where(F.col("_x").isNotNull())
     x = F.col("_x")
@@ -119,7 +119,10 @@ def fit_power(df: DataFrame, column: str, rounds: int = 30, grid: int = 41) -> P
         if not any(spreads.values()):
             return PowerModel(column, 1.0, ScalerModel(column, mean or 0.0, 0.0))
         scores = [
-            -rows / 2 * math.log(spreads[p]) + (p - 1) * logs if spreads.get(p) else -math.inf for p in powers
+            -rows / 2 * math.log(spreads[p]) + (p - 1) * logs
+            if spreads.get(p) and math.isfinite(spreads[p])
+            else -math.inf
+            for p in powers
         ]
         best = max(range(grid), key=scores.__getitem__)
         center = powers[best]

@@ -10,7 +10,7 @@ from pulse.operators import features, models, scaling, similarity
 from pulse.operators.ordered import first_per_group
 from pulse.plans import articles as jobs
 from pulse.plans.checks import adapters as a
-from pulse.plans.checks.expressions import _STOP, words_sql
+from pulse.plans.checks.expressions import _STOP, LEXICON, words_sql
 from pulse.plans.checks.registry import check, joined, r6
 from pulse.session import scratch_path, settle
 from pulse.sources import sinks
@@ -49,7 +49,22 @@ def power_transform(spark, folder):
     return scaled.select("c_custkey", F.round("scaled", 3).alias("scaled"))
 
 
-@check("x03_quantile_transform")
+@check(
+    "x03_quantile_transform",
+    """WITH v AS (SELECT list(c_acctbal ORDER BY c_acctbal) AS v, count(*) AS n, least(count(*), 1000) AS m FROM customer),
+h AS (SELECT i, v, m, i * (n - 1) / (m - 1) AS h FROM (SELECT v, n, m, unnest(range(0, m)) AS i FROM v)),
+marks AS (
+  SELECT i, m, v[CAST(floor(h) AS BIGINT) + 1] + (v[CAST(ceil(h) AS BIGINT) + 1] - v[CAST(floor(h) AS BIGINT) + 1]) * (h - floor(h)) AS mark
+  FROM h),
+spots AS (
+  SELECT x, max(CASE WHEN mark <= x THEN i END) AS j, min(CASE WHEN mark >= x THEN i END) AS k
+  FROM (SELECT DISTINCT c_acctbal AS x FROM customer), marks GROUP BY x),
+placed AS (
+  SELECT x, CASE WHEN j = a.m - 1 THEN 1 ELSE (j + (x - a.mark) / (b.mark - a.mark)) / (a.m - 1) END AS up,
+         CASE WHEN k = 0 THEN 0 ELSE (k - (c.mark - x) / (c.mark - d.mark)) / (a.m - 1) END AS down
+  FROM spots JOIN marks a ON a.i = j LEFT JOIN marks b ON b.i = j + 1 JOIN marks c ON c.i = k LEFT JOIN marks d ON d.i = k - 1)
+SELECT c_custkey, round((up + down) / 2, 6) AS scaled FROM customer JOIN placed ON c_acctbal = x""",
+)
 def quantile_transform(spark, folder):
     rows = a.table(spark, folder, "customer").select("c_custkey", "c_acctbal")
     scaled = scaling.fit_quantiles(rows, "c_acctbal").transform(rows, "scaled")
@@ -124,6 +139,20 @@ def stratified_split(spark, folder):
     return models.stratified_split(rows, "article_theme", "doc_id", 0.2, 0.2)
 
 
+@check(
+    "x09_split_sizes",
+    a.using(a.ARTICLES)
+    + """, n AS (SELECT article_index, count(*) AS n, round(count(*) * 0.2) AS t FROM arts GROUP BY 1),
+s AS (SELECT article_index, n, t, round((n - t) * 0.2) AS v FROM n)
+SELECT article_index, split, CAST(c AS BIGINT) AS "count" FROM (
+  SELECT article_index, unnest(['test', 'validation', 'train']) AS split, unnest([t, v, n - t - v]) AS c FROM s) WHERE c > 0""",
+)
+def split_sizes(spark, folder):
+    rows = a.articles(spark, folder).select("doc_id", "article_index")
+    split = models.stratified_split(rows, "article_index", "doc_id", 0.2, 0.2)
+    return split.groupBy("article_index", "split").count()
+
+
 _SHEET = """sheet AS (
   SELECT p_partkey AS pos, CASE WHEN p_size % 3 = 0 THEN p_type END AS theme, CASE WHEN p_size % 4 <> 0 THEN p_brand END AS idx FROM part)"""
 _TAXONOMY = _SHEET + """,
@@ -209,7 +238,22 @@ def engineer_features(spark, folder):
     )
 
 
-@check("x15_lexicon_features")
+_SCORES = ", ".join(
+    f"round(coalesce(sum(CASE WHEN part IN ({parts}) THEN {score} END) / count(CASE WHEN part IN ({parts}) THEN 1 END), 0), 6) AS {c}_{name}"
+    for c, parts in (("headline", "'h'"), ("summary", "'s'"), ("text", "'h', 's'"))
+    for name, score in (("sentiment", "polarity"), ("subjectivity", "subjectivity"))
+)
+
+
+@check(
+    "x15_lexicon_features",
+    a.using(a.ARTICLES, LEXICON)
+    + f""", tokens AS (
+  SELECT doc_id, 'h' AS part, unnest({words_sql('lower(headline)')}) AS word FROM arts
+  UNION ALL SELECT doc_id, 's', unnest({words_sql('lower(summary)')}) FROM arts),
+hits AS (SELECT doc_id, part, polarity, subjectivity FROM tokens JOIN lex ON tokens.word = lex.word)
+SELECT arts.doc_id, {_SCORES} FROM arts LEFT JOIN hits ON arts.doc_id = hits.doc_id GROUP BY arts.doc_id""",
+)
 def lexicon_features(spark, folder):
     rows = jobs.engineer_features(a.articles(spark, folder), "doc_id", a.lexicon(spark, folder), ["doc_id"])
     scores = [f"{c}_{k}" for c in features.TEXTS for k in ("sentiment", "subjectivity")]
