@@ -27,7 +27,8 @@ def filter_articles(
 ) -> DataFrame:
     """Labelled articles by domain, engagement and time, most engaging first.
 
-    An article without a domain is left out, as an SQL ``NOT IN`` would.
+    An article without a domain is left out, as an SQL ``NOT IN`` would. The sort is
+    a full shuffle: leave it out when the list feeds another aggregation.
     """
     kept = news.where(F.col("headline").isNotNull() & (F.col("facebook_interactions") >= min_interactions))
     kept = kept.where(~F.col("domain").isin(*excluded_domains) if excluded_domains else F.col("domain").isNotNull())

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassifier
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,17 +30,16 @@ class HashingEncoder:
     def fit(df: DataFrame, column: str, size: int = 1024) -> HashingEncoder:
         stages = Pipeline(
             stages=[
-                RegexTokenizer(inputCol="_text", outputCol="_words", pattern=text.WORD, gaps=False),
                 HashingTF(inputCol="_words", outputCol="_counts", numFeatures=size),
                 IDF(inputCol="_counts", outputCol="_weights"),
                 Normalizer(inputCol="_weights", outputCol="_vector"),
             ]
         )
-        return HashingEncoder(stages.fit(_as_text(df, column)))
+        return HashingEncoder(stages.fit(_cut(df, column).select("_words")))
 
     def transform(self, df: DataFrame, column: str, output: str = "vector") -> DataFrame:
-        done = self.model.transform(_as_text(df, column))
-        return done.withColumn(output, F.col("_vector")).drop("_text", "_words", "_counts", "_weights", "_vector")
+        done = self.model.transform(_cut(df, column))
+        return done.withColumn(output, F.col("_vector")).drop("_words", "_counts", "_weights", "_vector")
 
 
 @dataclass(frozen=True)
@@ -61,8 +60,8 @@ class FunctionEncoder:
         return df.withColumn(output, array_to_vector(encoder(F.coalesce(column, F.lit("")))))
 
 
-def _as_text(df: DataFrame, column: str) -> DataFrame:
-    return df.withColumn("_text", F.coalesce(column, F.lit("")))
+def _cut(df: DataFrame, column: str) -> DataFrame:
+    return df.withColumn("_words", F.coalesce(text.words(F.lower(column)), F.array().cast("array<string>")))
 
 
 def embed(df: DataFrame, column: str, encoder: HashingEncoder | FunctionEncoder, output: str = "vector") -> DataFrame:

@@ -275,11 +275,10 @@ def label_articles(spark, folder):
   SELECT *, lag(facebook_interactions) OVER (PARTITION BY link ORDER BY headline DESC, published, date_extracted, event_id) AS b FROM snaps)
 SELECT event_id, published, date, strftime(published, '%H:%M:%S') AS time, date_extracted, headline, summary, link, domain,
   facebook_interactions, coalesce(facebook_interactions - b, 0) AS facebook_interactions_abs_change,
-  round(coalesce(facebook_interactions / nullif(b, 0) - 1, 0), 6) AS facebook_interactions_pct_change, theme, "index" FROM lagged""",
+  coalesce(facebook_interactions / nullif(b, 0) - 1, 0) AS facebook_interactions_pct_change, theme, "index" FROM lagged""",
 )
 def process_snapshots(spark, folder):
-    rows = jobs.process_snapshots(a.raw_snapshots(spark, folder), ["event_id"])
-    return rows.withColumn("facebook_interactions_pct_change", r6("facebook_interactions_pct_change"))
+    return jobs.process_snapshots(a.raw_snapshots(spark, folder), ["event_id"])
 
 
 @check(

@@ -497,11 +497,11 @@ def abs_change(spark, folder):
 @check(
     "w02_pct_change",
     a.using(a.SNAPS) + _LAGGED
-    + "SELECT event_id, round(coalesce(facebook_interactions / nullif(b, 0) - 1, 0), 6) AS facebook_interactions_pct_change FROM lagged",
+    + "SELECT event_id, coalesce(facebook_interactions / nullif(b, 0) - 1, 0) AS facebook_interactions_pct_change FROM lagged",
 )
 def pct_change(spark, folder):
     rows = snapshots.article_changes(a.snapshots(spark, folder), ["event_id"])
-    return rows.select("event_id", r6("facebook_interactions_pct_change").alias("facebook_interactions_pct_change"))
+    return rows.select("event_id", "facebook_interactions_pct_change")
 
 
 @check("w03_index_mean_change", _change_sql('"index"', "avg"))

@@ -1,4 +1,4 @@
-"""Run a registered query and its SQL twin and compare their rows."""
+"""Compare the rows of a frame with those of its SQL twin."""
 
 from __future__ import annotations
 
@@ -36,9 +36,8 @@ def rows_of(names: list[str], rows: list) -> list[tuple]:
     return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
 
 
-def difference(spark, connection, folder: str, query, sql: str) -> str | None:
+def difference(frame, connection, sql: str) -> str | None:
     """None when both give the same rows, else what differs first."""
-    frame = query(spark, folder)
     ours = rows_of(frame.columns, frame.collect())
     cursor = connection.execute(sql)
     names = [d[0] for d in cursor.description]
