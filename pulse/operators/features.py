@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulse.functions import dates, domains, text, values
-from pulse.operators.ordered import HOT_ROWS, first_per_group, with_lag
+from pulse.operators.ordered import HOT_ROWS, broadcast_if_small, first_per_group, with_lag
 
 TEXTS = ("headline", "summary", "text")
 
@@ -80,7 +80,9 @@ def word_features(df: DataFrame, columns: Sequence[str] = TEXTS) -> DataFrame:
 LEXICON_ROWS = 200_000
 
 
-def lexicon_scores(df: DataFrame, key: str, columns: Sequence[str], lexicon: DataFrame) -> DataFrame:
+def lexicon_scores(
+    df: DataFrame, key: str, columns: Sequence[str], lexicon: DataFrame, lexicon_rows: int = LEXICON_ROWS
+) -> DataFrame:
     """Mean polarity and subjectivity of the words of each text found in a lexicon.
 
     ``lexicon`` has ``word``, ``polarity`` and ``subjectivity`` with one row per
@@ -95,11 +97,12 @@ def lexicon_scores(df: DataFrame, key: str, columns: Sequence[str], lexicon: Dat
     texts = df.select(key, F.explode(listed).alias("text"))
     tokens = texts.select(key, "text.place", F.explode(text.words(F.lower("text.body"))).alias("word"))
     scores = lexicon.select("word", "polarity", "subjectivity")
-    if lexicon.limit(LEXICON_ROWS + 1).count() <= LEXICON_ROWS:
-        scored = tokens.withColumn("times", F.lit(1)).join(F.broadcast(scores), "word")
-    else:
+    sized = broadcast_if_small(scores, lexicon_rows)
+    if sized is scores:
         counted = tokens.groupBy(key, "place", "word").agg(F.count("*").alias("times"))
-        scored = counted.join(scores, "word")
+    else:
+        counted = tokens.withColumn("times", F.lit(1))
+    scored = counted.join(sized, "word")
     sums = []
     for i, p in enumerate(cut):
         here = F.when(F.col("place") == i, F.col("times"))

@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 
 from pulse import schemas
 from pulse.functions import text
-from pulse.operators.ordered import first_per_group
+from pulse.operators.ordered import broadcast_if_small, first_per_group
 
 
 
+# Most rows of a batch whose keys every task may hold: about 100 MB.
+BATCH_ROWS = 500_000
+
+
 def delete_sources(target: DataFrame, names: Sequence[str]) -> DataFrame:
     """Remove rows loaded from the named files; rows of unknown origin stay."""
     if not names:
@@ -24,38 +28,50 @@ def delete_sources(target: DataFrame, names: Sequence[str]) -> DataFrame:
     return target.where(F.coalesce(~F.col("source").isin(*names), F.lit(True)))
 
 
-def upsert_scan(target: DataFrame, batch: DataFrame, source: str) -> DataFrame:
+def upsert_scan(target: DataFrame, batch: DataFrame, source: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Load one scan file: replace its earlier load, then insert or update by key.
 
     A stored article is overwritten only when the batch has at least as many
     interactions. When the batch repeats a key its most engaging row counts.
     """
-    return _merge(delete_sources(target, [source]), batch.withColumn("source", F.lit(source)))
+    return _merge(delete_sources(target, [source]), batch.withColumn("source", F.lit(source)), batch_rows)
 
 
-def upsert_new_scans(target: DataFrame, batch: DataFrame) -> DataFrame:
+def upsert_new_scans(target: DataFrame, batch: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Load many scan files that were never loaded before in one pass.
 
     For new file names this equals loading them one by one in name order: the row
     with most interactions wins and the later file wins a tie.
     """
-    return _merge(target, batch)
+    return _merge(target, batch, batch_rows)
 
 
-def _merge(target: DataFrame, batch: DataFrame) -> DataFrame:
+def _merge(target: DataFrame, batch: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
     columns = schemas.NEWS_DATA.names
-    rows = target.select(*columns, F.lit(0).alias("_incoming")).unionByName(
-        batch.select(*columns, F.lit(1).alias("_incoming"))
-    )
     # With several new files the later name must win a tie before the time does.
-    order = ["-facebook_interactions", "-_incoming", "-source", "-published", "link"]
-    return first_per_group(rows, ["facebook_link"], order).drop("_incoming")
+    best = first_per_group(
+        batch.select(*columns), ["facebook_link"], ["-facebook_interactions", "-source", "-published", "link"]
+    )
+    # Only keys and counts of the batch meet the stored rows, so a batch of checked
+    # size is broadcast and the stored table is not shuffled.
+    counts = best.select("facebook_link", F.col("facebook_interactions").alias("_new"))
+    counts = broadcast_if_small(counts, batch_rows)
+    stored = target.select(*columns)
+    kept = stored.join(counts, "facebook_link", "left").where(
+        F.col("_new").isNull() | (F.col("facebook_interactions") > F.col("_new"))
+    )
+    beaten = stored.join(counts, "facebook_link").where(F.col("facebook_interactions") > F.col("_new"))
+    fresh = best.join(beaten.select("facebook_link"), "facebook_link", "left_anti")
+    return kept.select(*columns).unionByName(fresh.select(*columns))
 
 
-def replace_by_key(target: DataFrame, batch: DataFrame, key: str = "facebook_link") -> DataFrame:
+def replace_by_key(
+    target: DataFrame, batch: DataFrame, key: str = "facebook_link", batch_rows: int = BATCH_ROWS
+) -> DataFrame:
     """Remove rows whose key is in the batch, then add the batch."""
     fresh = batch.select(*target.columns)
-    return target.join(fresh.select(key), key, "left_anti").select(*target.columns).unionByName(fresh)
+    keys = broadcast_if_small(fresh.select(key), batch_rows)
+    return target.join(keys, key, "left_anti").select(*target.columns).unionByName(fresh)
 
 
 def load_labels(target: DataFrame, batch: DataFrame, include_themes: bool = False) -> DataFrame:
@@ -73,7 +89,11 @@ def load_labels(target: DataFrame, batch: DataFrame, include_themes: bool = Fals
 
 
 def update_from(
-    target: DataFrame, batch: DataFrame, key: str = "facebook_link", columns: Sequence[str] = ("subindex",)
+    target: DataFrame,
+    batch: DataFrame,
+    key: str = "facebook_link",
+    columns: Sequence[str] = ("subindex",),
+    batch_rows: int = BATCH_ROWS,
 ) -> DataFrame:
     """Overwrite columns of the rows whose key is in the batch, also by null.
 
@@ -81,7 +101,7 @@ def update_from(
     """
     fresh = first_per_group(batch.select(key, *columns), [key], list(columns))
     fresh = fresh.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_matched"))
-    joined = target.join(fresh, key, "left")
+    joined = target.join(broadcast_if_small(fresh, batch_rows), key, "left")
     return joined.withColumns(
         {c: F.when(F.col("_matched"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in columns}
     ).select(*target.columns)

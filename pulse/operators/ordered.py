@@ -45,6 +45,14 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], n:
     return df.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= n).drop("_rank")
 
 
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """Mark a frame for broadcast after checking that it has at most ``rows`` rows.
+
+    A larger frame comes back as it is, for a shuffle join.
+    """
+    return F.broadcast(df) if df.select(F.lit(1)).limit(rows + 1).count() <= rows else df
+
+
 def with_row_number(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position", hot_rows: int = HOT_ROWS
 ) -> DataFrame:

@@ -18,11 +18,27 @@ _TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
-    """Parquet files, split into folders by ``partition_by`` when given."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    """Parquet files, split into folders by ``partition_by`` when given.
+
+    Rows of one folder are brought together first, so that it gets few files;
+    adaptive execution splits a folder with too many rows over several tasks.
+    """
+    rows = df.hint("rebalance", *partition_by) if partition_by else df
+    rows.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     return path
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, key: str = "facebook_link", buckets: int = 200) -> str:
+    """A keyed table in buckets of its key.
+
+    Joins and upserts between tables with the same buckets need no shuffle. Reads
+    go through the catalog: ``spark.table(table)``.
+    """
+    writer = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    writer.option("path", path).saveAsTable(table)
+    return table
+
+
 def write_csv(df: DataFrame, path: str, run_date: dt.date | None = None) -> str:
     """CSV files with a header, in a folder per run date when one is given.
 

@@ -40,14 +40,14 @@ def as_state(stored: dict):
     return sorted((f"fb{k}", count, source) for k, (count, source) in stored.items())
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_files_one_by_one(spark, seed):
+@pytest.mark.parametrize("seed, batch_rows", [(0, 1000), (1, 1000), (2, 2)])
+def test_files_one_by_one(spark, seed, batch_rows):
     chance = random.Random(seed)
     stored: dict = {}
     table = spark.createDataFrame([], schemas.NEWS_DATA)
     for name in ("a.csv", "b.csv", "a.csv", "c.csv"):
         batch = [(chance.randrange(12), chance.randrange(5), name) for _ in range(10)]
-        table = mutate.upsert_scan(table, frame(spark, batch).drop("source"), name)
+        table = mutate.upsert_scan(table, frame(spark, batch).drop("source"), name, batch_rows)
         stored = apply(stored, batch, name)
         assert state(table) == as_state(stored)
 

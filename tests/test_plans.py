@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulse import session
-from pulse.operators import articles, features, ranking, snapshots
+from pulse.operators import articles, features, mutate, ranking, snapshots
 from pulse.operators.ordered import paged_lists
 from pulse.plans.checks import adapters
 from pulse.sources import files, sinks
@@ -64,6 +64,41 @@ def test_deleting_a_source_prunes_folders(spark, stored, tmp_path):
     assert "PartitionFilters: [isnotnull(source" in scans(kept)[0]
 
 
+def test_upsert_does_not_shuffle_the_stored_table(stored):
+    news = stored[0].drop("source")
+    text = plan(mutate.upsert_scan(stored[0], news, "scan_en"))
+    # Kept rows come straight from the scan; keys that stay are the only stored column that moves.
+    assert text.count("BroadcastHashJoin [facebook_link") >= 2
+    assert not re.search(r"Exchange hashpartitioning[^\n]*\n[^\n]*\n[^\n]*FileScan[^\n]*headline", text)
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, stored, tmp_path):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tables = [
+            spark.table(sinks.write_bucketed(frame, name, str(tmp_path / name), buckets=4))
+            for frame, name in zip(stored, ("news_in_buckets", "labels_in_buckets"))
+        ]
+        text = plan(articles.with_labels(*tables))
+        assert "SortMergeJoin" in text and "Exchange" not in text
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("news_in_buckets", "labels_in_buckets"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_large_lexicon_gives_the_same_scores(spark, data):
+    texts = adapters.news(spark, data).select("facebook_link", "headline")
+    lexicon = adapters.lexicon(spark, data)
+    scored = [
+        features.lexicon_scores(texts, "facebook_link", ["headline"], lexicon, rows).select(
+            "facebook_link", F.round("headline_sentiment", 9), F.round("headline_subjectivity", 9)
+        )
+        for rows in (10, 10_000)
+    ]
+    assert sorted(map(tuple, scored[0].collect())) == sorted(map(tuple, scored[1].collect()))
+
+
 def test_lag_needs_one_shuffle(spark, data):
     text = plan(snapshots.article_changes(adapters.snapshots(spark, data), ["event_id"]))
     assert text.count("Exchange ") == 1 and "Python" not in text
