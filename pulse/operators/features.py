@@ -72,7 +72,8 @@ def word_features(df: DataFrame, columns: Sequence[str] = TEXTS) -> DataFrame:
         # Counts of a joined text add up; only its distinct words need both parts.
         results[f"{c}_word_count"] = reduce(add, [F.col(f"_all_{p}") for p in group])
         results[f"{c}_non_stop_word_count"] = reduce(add, [F.col(f"_rare_{p}") for p in group])
-        results[f"{c}_unique_word_count"] = F.size(F.array_distinct(F.concat(*[f"_words_{p}" for p in group])))
+        found = F.concat(*[f"_words_{p}" for p in group]) if len(group) > 1 else F.col(f"_words_{c}")
+        results[f"{c}_unique_word_count"] = F.size(F.array_distinct(found))
     return counted.withColumns(results).drop(*[f"_{k}_{p}" for p in cut for k in ("words", "all", "rare")])
 
 

@@ -26,6 +26,9 @@ from pulse.session import settle
 # spills, so wider rows still work; callers can pass a smaller number.
 HOT_ROWS = 1_000_000
 
+# Most rows of a helper table (hot keys, slice ends) that every task may hold.
+HELPER_ROWS = 500_000
+
 
 def order_by(order: Sequence[str]) -> list[Column]:
     """Sort columns for names with an optional leading minus."""
@@ -62,11 +65,11 @@ def with_row_number(
         window = Window.partitionBy(*keys).orderBy(*order_by(order))
         return part.withColumn(name, F.row_number().over(window).cast("long"))
 
-    def sliced(part: DataFrame) -> DataFrame:
+    def sliced(part: DataFrame, attach: Callable) -> DataFrame:
         spans = part.groupBy(*keys, "_slice").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
         earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
         spans = spans.withColumn("_offset", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-        joined = _match(part, spans, [*keys, "_slice"])
+        joined = attach(part, spans)
         return joined.withColumn(name, F.col("_at") - F.col("_first") + F.col("_offset") + 1).drop(
             "_first", "_rows", "_offset"
         )
@@ -83,7 +86,7 @@ def with_lag(
         window = Window.partitionBy(*keys).orderBy(*order_by(order))
         return part.withColumns({new: F.lag(old).over(window) for new, old in columns.items()})
 
-    def sliced(part: DataFrame) -> DataFrame:
+    def sliced(part: DataFrame, attach: Callable) -> DataFrame:
         last = F.max_by(F.struct(*[F.col(old).alias(new) for new, old in columns.items()]), "_at")
         tails = part.groupBy(*keys, "_slice").agg(last.alias("_tail"))
         tails = tails.withColumn("_carry", F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_slice"))).drop(
@@ -91,7 +94,7 @@ def with_lag(
         )
         inside = Window.partitionBy(*keys, "_slice").orderBy("_at")
         seen = part.withColumn("_previous", F.lag(F.struct(*[F.col(o).alias(n) for n, o in columns.items()])).over(inside))
-        joined = _match(seen, tails, [*keys, "_slice"])
+        joined = attach(seen, tails)
         return joined.withColumns(
             {new: F.coalesce("_previous", "_carry").getField(new) for new in columns}
         ).drop("_previous", "_carry")
@@ -108,14 +111,14 @@ def with_fill(
         window = Window.partitionBy(*keys).orderBy(*order_by(order)).rowsBetween(Window.unboundedPreceding, 0)
         return part.withColumns({c: F.last(c, ignorenulls=True).over(window) for c in columns})
 
-    def sliced(part: DataFrame) -> DataFrame:
+    def sliced(part: DataFrame, attach: Callable) -> DataFrame:
         ends = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_at"))).alias(f"_end_{c}") for c in columns]
         earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
         tails = part.groupBy(*keys, "_slice").agg(*ends)
         tails = tails.withColumns({f"_end_{c}": F.last(f"_end_{c}", ignorenulls=True).over(earlier) for c in columns})
         inside = Window.partitionBy(*keys, "_slice").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
         filled = part.withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in columns})
-        joined = _match(filled, tails, [*keys, "_slice"])
+        joined = attach(filled, tails)
         return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"_end_{c}")) for c in columns}).drop(
             *[f"_end_{c}" for c in columns]
         )
@@ -141,12 +144,12 @@ def with_running_total(
         window = Window.partitionBy(*keys).orderBy(*order_by(order)).rowsBetween(Window.unboundedPreceding, 0)
         return part.withColumn(name, F.sum(column).over(window))
 
-    def sliced(part: DataFrame) -> DataFrame:
+    def sliced(part: DataFrame, attach: Callable) -> DataFrame:
         earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
         tails = part.groupBy(*keys, "_slice").agg(F.sum(column).alias("_sum"))
         tails = tails.withColumn("_offset", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
         inside = Window.partitionBy(*keys, "_slice").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-        joined = _match(part.withColumn(name, F.sum(column).over(inside)), tails, [*keys, "_slice"])
+        joined = attach(part.withColumn(name, F.sum(column).over(inside)), tails)
         return joined.withColumn(name, F.col(name) + F.col("_offset")).drop("_offset")
 
     return _by_size(df, keys, order, plain, sliced, hot_rows, rows)
@@ -210,19 +213,20 @@ def _by_size(
     keys: Sequence[str],
     order: Sequence[str],
     plain: Callable[[DataFrame], DataFrame],
-    sliced: Callable[[DataFrame], DataFrame],
+    sliced: Callable[[DataFrame, Callable[[DataFrame, DataFrame], DataFrame]], DataFrame],
     hot_rows: int,
     rows: int | None = None,
 ) -> DataFrame:
     if not keys:
         rows = df.count() if rows is None else rows
-        return plain(df) if rows <= hot_rows else _slice(df, keys, order, rows, sliced, hot_rows)
+        return plain(df) if rows <= hot_rows else _slice(df, keys, order, rows, 1, sliced, hot_rows)
     hot = df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot_rows)
     if hot.isEmpty():
         return plain(df)
     hot = settle(hot)
-    rows = hot.agg(F.sum("_rows")).first()[0]
-    heavy = _slice(_match(df, hot, keys, "left_semi"), keys, order, rows, sliced, hot_rows)
+    rows, groups = hot.agg(F.sum("_rows"), F.count("*")).first()
+    hot = F.broadcast(hot) if groups <= HELPER_ROWS else hot
+    heavy = _slice(_match(df, hot, keys, "left_semi"), keys, order, rows, groups, sliced, hot_rows)
     return plain(_match(df, hot, keys, "left_anti")).unionByName(heavy)
 
 
@@ -231,7 +235,8 @@ def _slice(
     keys: Sequence[str],
     order: Sequence[str],
     rows: int,
-    sliced: Callable[[DataFrame], DataFrame],
+    groups: int,
+    sliced: Callable[[DataFrame, Callable[[DataFrame, DataFrame], DataFrame]], DataFrame],
     hot_rows: int,
 ) -> DataFrame:
     slices = max(2, math.ceil(4 * rows / hot_rows))
@@ -243,7 +248,13 @@ def _slice(
         .sortWithinPartitions(*sort)
         .withColumns({"_slice": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
     )
-    return sliced(placed).drop("_slice", "_at")
+    # Groups lie next to each other, so there are at most this many (group, slice) pairs.
+    small = slices + groups <= HELPER_ROWS
+
+    def attach(part: DataFrame, ends: DataFrame) -> DataFrame:
+        return _match(part, F.broadcast(ends) if small else ends, [*keys, "_slice"])
+
+    return sliced(placed, attach).drop("_slice", "_at")
 
 
 def _match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

@@ -46,6 +46,12 @@ def test_lag(rows, keys, order):
     same(ordered.with_lag(rows, keys, order, columns, HOT), ordered.with_lag(rows, keys, order, columns))
 
 
+def test_large_helper_tables_are_shuffled(rows, monkeypatch):
+    plain = ordered.with_lag(rows, ["key"], ["at", "id"], {"before": "value"})
+    monkeypatch.setattr(ordered, "HELPER_ROWS", 0)
+    same(ordered.with_lag(rows, ["key"], ["at", "id"], {"before": "value"}, HOT), plain)
+
+
 @pytest.mark.parametrize("keys", [["key"], []])
 def test_fill(rows, keys):
     order = ["at", "id"]
@@ -61,7 +67,7 @@ def test_running_total(rows, keys):
 def test_hot_groups_span_slices(rows):
     slices = []
 
-    def count(part):
+    def count(part, attach):
         slices.append(part.groupBy("key").agg(F.count_distinct("_slice").alias("n")).where("key = 'hot'").first()["n"])
         return part
 
