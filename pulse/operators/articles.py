@@ -184,6 +184,21 @@ def distinct_labels(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.explode(column).alias(column)).where(F.col(column).isNotNull()).distinct().orderBy(column)
 
 
+def group_label_lists(
+    df: DataFrame, column: str, taxonomy: DataFrame | None = None, page_rows: int = 1_000
+) -> DataFrame:
+    """Sorted distinct labels of each subindex group, in pages; only those in the taxonomy if one is given.
+
+    Used for the labels suggested for a group and for those its articles already have.
+    """
+    named = labels_long(df.where(F.length("subindex") > 0), column).select("subindex", F.col(column).alias("label"))
+    pairs = named.distinct()
+    if taxonomy is not None:
+        allowed = taxonomy.select(F.col(taxonomy.columns[0]).alias("label"))
+        pairs = pairs.join(allowed, "label", "left_semi")
+    return paged_lists(pairs, ["subindex"], ["label"], {"labels": "label"}, page_rows)
+
+
 def value_list(df: DataFrame, column: str) -> DataFrame:
     """Sorted distinct values of a plain column, nulls left out."""
     return df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)

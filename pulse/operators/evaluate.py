@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulse.operators.labelling import vote_predictions
+
 METRICS = ("accuracy", "precision", "recall", "f1")
 
 
@@ -71,6 +73,14 @@ def evaluate(df: DataFrame, truth: str = "label", guess: str = "pred_y", digits:
     )
 
 
+def evaluate_levels(df: DataFrame, weighted: bool = False) -> DataFrame:
+    """Macro metrics per article, and per index after its articles have voted."""
+    levels = {"article": evaluate(df), "index": evaluate(vote_predictions(df, weighted))}
+    return reduce(
+        DataFrame.unionByName, [frame.select(F.lit(name).alias("level"), *METRICS) for name, frame in levels.items()]
+    )
+
+
 def class_report(df: DataFrame, truth: str = "label", guess: str = "pred_y") -> DataFrame:
     """Per-class metrics followed by accuracy, macro and weighted averages."""
     classes = class_metrics(df, truth, guess)

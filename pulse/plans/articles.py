@@ -61,6 +61,19 @@ def engineer_features(
     return counted.dropna()
 
 
+def prepare_articles(
+    snapshot_rows: DataFrame,
+    key: str = "link",
+    lexicon: DataFrame | None = None,
+    ties: Sequence[str] = (),
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Unique articles with features, publisher group and traffic; unknown publishers leave last."""
+    unique = features.unique_articles(snapshot_rows, ties)
+    engineered = engineer_features(unique, key, lexicon, ties, hot_rows)
+    return features.with_traffic(features.keep_known_domains(engineered))
+
+
 def label_articles(
     articles: DataFrame, snapshot_rows: DataFrame, ties: Sequence[str] = (), hot_rows: int = HOT_ROWS
 ) -> DataFrame:

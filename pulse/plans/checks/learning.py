@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulse.functions import text
+from pulse.functions.domains import DOMAIN_GROUPS, GROUP_TRAFFIC
 from pulse.operators import features, models, scaling, similarity
 
 from pulse.operators.ordered import first_per_group
@@ -260,6 +261,26 @@ def lexicon_features(spark, folder):
     return rows.select("doc_id", *[r6(c).alias(c) for c in scores])
 
 
+_GROUP_SQL = ", ".join(f"('{d}', '{g}', {v}, {u})" for d, g in DOMAIN_GROUPS.items() for v, u in [GROUP_TRAFFIC[g]])
+
+
+@check(
+    "x15_prepare_articles",
+    a.using(a.ARTICLES)
+    + f""", firsts AS (SELECT * FROM arts QUALIFY row_number() OVER (PARTITION BY headline, published ORDER BY date_extracted, doc_id) = 1),
+uniq AS (SELECT * FROM firsts QUALIFY count(*) OVER (PARTITION BY article_index) > 1),
+timed AS (SELECT *, coalesce((epoch_us(published) - lag(epoch_us(published)) OVER (PARTITION BY article_index ORDER BY published, doc_id)) / 3.6e9, 0) AS h FROM uniq),
+traffic(domain, domain_group, visits, visitors) AS (VALUES {_GROUP_SQL})
+SELECT doc_id, round(h, 6) AS hours_since_published, domain_group, CAST(visits AS BIGINT) AS mean_monthly_visits
+FROM timed JOIN traffic ON timed.domain = traffic.domain""",
+)
+def prepare_articles(spark, folder):
+    rows = jobs.prepare_articles(a.articles(spark, folder), "doc_id", ties=["doc_id"])
+    return rows.select(
+        "doc_id", r6("hours_since_published").alias("hours_since_published"), "domain_group", "mean_monthly_visits"
+    )
+
+
 @check("x16_label_articles")
 def label_articles(spark, folder):
     rows = a.snapshots(spark, folder)

@@ -608,3 +608,16 @@ def project_index(spark, folder):
 )
 def compare_models(spark, folder):
     return evaluate.compare_models(_results(spark, folder))
+
+
+_INDEX_VOTES = f"SELECT t.label AS y, p.pred_y AS p FROM ({_vote_sql('label')}) t JOIN ({_vote_sql('pred_y')}) p ON t.article_index = p.article_index"
+
+
+@check(
+    "x17_evaluate_levels",
+    a.using(a.PREDS)
+    + f""", art AS (SELECT * FROM ({_EVAL.format(pairs=_MODEL_PAIRS["guess"])})), idx AS (SELECT * FROM ({_EVAL.format(pairs=_INDEX_VOTES)}))
+SELECT 'article' AS level, * FROM art UNION ALL SELECT 'index', * FROM idx""",
+)
+def evaluate_levels(spark, folder):
+    return evaluate.evaluate_levels(a.predictions(spark, folder))

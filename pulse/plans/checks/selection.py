@@ -337,13 +337,21 @@ def known_domains(spark, folder):
     return features.keep_known_domains(a.snapshots(spark, folder)).select("event_id", "domain")
 
 
-@check(
-    "j06_labels_in_taxonomy",
-    "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)",
-)
+_GROUPS = "WITH " + SELECTED + """, pairs AS (
+  SELECT DISTINCT subindex, label FROM (SELECT subindex, unnest(themes) AS label FROM sel) WHERE length(subindex) > 0)
+SELECT subindex, CAST(1 AS BIGINT) AS page, string_agg(label, '|' ORDER BY label) AS labels FROM pairs """
+
+
+@check("j06_labels_in_taxonomy", _GROUPS + "WHERE label IN (SELECT lang FROM documents WHERE n_chars > 10000) GROUP BY subindex")
 def labels_in_taxonomy(spark, folder):
-    allowed = a.table(spark, folder, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey"))
-    return a.table(spark, folder, "orders").join(allowed, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
+    allowed = a.table(spark, folder, "documents").where("n_chars > 10000").select("lang").distinct()
+    rows = art.group_label_lists(selected(spark, folder), "themes", allowed)
+    return rows.withColumn("labels", joined("labels"))
+
+
+@check("f18_group_label_lists", _GROUPS + "GROUP BY subindex")
+def group_label_lists(spark, folder):
+    return art.group_label_lists(selected(spark, folder), "themes").withColumn("labels", joined("labels"))
 
 
 @check(

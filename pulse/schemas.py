@@ -57,3 +57,16 @@ INDEXED_COLUMNS = ["link", "facebook_link", "themes", "indexes", "subindex"]
 
 # Columns of a base training file.
 TRAINING_COLUMNS = ["Published", "Headline", "Theme", "New Index"]
+
+# Columns of a labelled-articles workbook.
+LABELLED_COLUMNS = [
+    "published",
+    "headline",
+    "summary",
+    "link",
+    "facebook_page_name",
+    "domain",
+    "facebook_interactions",
+    "subindex",
+    "source",
+]

@@ -168,6 +168,12 @@ def read_indexed_xlsx(
     return read_workbooks(files.select("path", "content"), columns)
 
 
+def read_labelled_xlsx(spark: SparkSession, path: str) -> DataFrame:
+    """Labelled articles from the first sheet of every workbook; the count must be a whole number."""
+    rows = read_indexed_xlsx(spark, path, schemas.LABELLED_COLUMNS)
+    return rows.withColumn("facebook_interactions", F.col("facebook_interactions").cast("long"))
+
+
 def read_workbooks(books: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows of workbooks given as ``path`` and ``content``.
 

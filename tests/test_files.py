@@ -85,6 +85,14 @@ def test_workbooks(spark, tmp_path):
         files.read_indexed_xlsx(spark, str(tmp_path), ["absent"]).collect()
 
 
+def test_labelled_workbook(spark, tmp_path):
+    values = ["2024-01-01", "h", "s", "l", "p", "d", "12", "sub", "a.csv"]
+    rows = spark.createDataFrame([tuple(values)], ", ".join(f"{c} string" for c in schemas.LABELLED_COLUMNS))
+    (tmp_path / "a.xlsx").write_bytes(sinks.to_workbooks(rows).first()["content"])
+    row = files.read_labelled_xlsx(spark, str(tmp_path)).first()
+    assert row["facebook_interactions"] == 12 and row["subindex"] == "sub"
+
+
 def test_csv_of_lists_and_run_date(spark, tmp_path):
     rows = spark.createDataFrame([(["a", "b"], " edge ")], "themes array<string>, t string")
     path = sinks.write_csv(rows, str(tmp_path / "out"), dt.date(2024, 1, 2))
