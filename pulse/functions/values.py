@@ -18,7 +18,8 @@ def nan_to_zero(column: str | Column) -> Column:
 
 
 def clip_negative(column: str | Column) -> Column:
-    return F.greatest(_col(column), F.lit(0))
+    """Negative values become 0; null stays null."""
+    return F.when(_col(column) < 0, F.lit(0)).otherwise(_col(column))
 
 
 def change(now: str | Column, before: str | Column) -> Column:

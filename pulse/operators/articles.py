@@ -155,7 +155,7 @@ def kpis(df: DataFrame, distinct: dict[str, str]) -> DataFrame:
 
 def daily_label_stats(df: DataFrame, column: str) -> DataFrame:
     """Mean, count and number of distinct subindexes per label and day."""
-    long = labels_long(df, column).withColumn("day", F.to_date("published"))
+    long = labels_long(df.where(F.col("published").isNotNull()), column).withColumn("day", F.to_date("published"))
     return long.groupBy(column, "day").agg(
         F.avg("facebook_interactions").alias("facebook_interactions"),
         F.count("facebook_interactions").alias("count"),
@@ -166,7 +166,7 @@ def daily_label_stats(df: DataFrame, column: str) -> DataFrame:
 def daily_label_subindexes(df: DataFrame, column: str, page_rows: int = 1_000) -> DataFrame:
     """Sorted set of subindexes per label and day, in pages."""
     long = labels_long(df, column).select(column, F.to_date("published").alias("day"), "subindex")
-    names = long.where(F.col("subindex").isNotNull()).distinct()
+    names = long.where(F.col("subindex").isNotNull() & F.col("day").isNotNull()).distinct()
     return paged_lists(names, [column, "day"], ["subindex"], {"subindexes": "subindex"}, page_rows)
 
 

@@ -43,7 +43,9 @@ def hours_since_previous(
 ) -> DataFrame:
     """Hours since the previous article of the same index; 0 for the first."""
     lagged = with_lag(df, [key], ["published", *ties], {"_before": "published"}, hot_rows)
-    hours = F.coalesce(dates.hours_between("published", "_before"), F.lit(0.0))
+    # Articles without an index belong to no series.
+    gap = F.when(F.col(key).isNotNull(), dates.hours_between("published", "_before"))
+    hours = F.coalesce(gap, F.lit(0.0))
     return lagged.withColumn("hours_since_published", hours).drop("_before")
 
 

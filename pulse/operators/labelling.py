@@ -14,7 +14,8 @@ from pulse.operators.snapshots import ARTICLE_ORDER
 
 def article_gradient(df: DataFrame, ties: Sequence[str] = (), hot_rows: int = HOT_ROWS) -> DataFrame:
     """Mean interactions per article and slope against the observation number; one observation has slope 0."""
-    numbered = with_row_number(df, ["link"], [*ARTICLE_ORDER, *ties], "_seen", hot_rows)
+    known = df.where(F.col("link").isNotNull())
+    numbered = with_row_number(known, ["link"], [*ARTICLE_ORDER, *ties], "_seen", hot_rows)
     value = values.nan_to_zero("facebook_interactions")
     return numbered.groupBy("link").agg(
         F.avg("facebook_interactions").alias("mean"),

@@ -35,6 +35,8 @@ def article_changes(
     lagged = with_lag(
         df, ["link"], [*ARTICLE_ORDER, *ties], {"_before": "facebook_interactions"}, hot_rows
     )
+    # Rows without a link are no series: they have no previous snapshot.
+    lagged = lagged.withColumn("_before", F.when(F.col("link").isNotNull(), F.col("_before")))
     return lagged.withColumns(
         {
             "facebook_interactions_abs_change": values.change("facebook_interactions", "_before"),
@@ -99,7 +101,7 @@ def label_counts_by_day(long: DataFrame, column: str) -> DataFrame:
 def calendar(df: DataFrame, column: str | None = None, names: Sequence[str] = ()) -> DataFrame:
     """Mean interactions per extraction date, optionally for chosen themes or indexes."""
     kept = only(df, column, names) if column else df
-    return kept.groupBy("date_extracted").agg(F.avg("facebook_interactions").alias("facebook_interactions"))
+    return kept.where(F.col("date_extracted").isNotNull()).groupBy("date_extracted").agg(F.avg("facebook_interactions").alias("facebook_interactions"))
 
 
 def calendar_bounds(df: DataFrame) -> DataFrame:

@@ -6,11 +6,11 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from pulse.functions import text, values
+from pulse.functions import values
 from pulse.functions.domains import DOMAIN_GROUPS
 from pulse.functions.domains import GROUP_TRAFFIC
 from pulse.operators import articles as art
-from pulse.operators import evaluate, features, labelling, models, mutate, ranking, snapshots
+from pulse.operators import evaluate, features, labelling, mutate, ranking, snapshots
 from pulse.operators.ordered import first_per_group, order_by
 from pulse.plans.checks import adapters as a
 from pulse.plans.checks.registry import check, joined, r6
@@ -180,8 +180,8 @@ def clip_negative(spark, folder):
 
 
 _CODE_SQL = a.using(a.PREDS) + """
-SELECT doc_id, label AS label_code, CASE WHEN dayofweek(DATE '2024-01-01' + CAST(doc_id % 7 AS INTEGER)) = 0 THEN 7
-  ELSE dayofweek(DATE '2024-01-01' + CAST(doc_id % 7 AS INTEGER)) END AS day FROM preds"""
+SELECT doc_id, label AS label_code, CAST(CASE WHEN dayofweek(DATE '2024-01-01' + CAST(doc_id % 7 AS INTEGER)) = 0 THEN 7
+  ELSE dayofweek(DATE '2024-01-01' + CAST(doc_id % 7 AS INTEGER)) END AS INTEGER) AS day FROM preds"""
 
 
 @check("p14_value_mapping", _CODE_SQL)

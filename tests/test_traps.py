@@ -49,6 +49,23 @@ def test_mean_skips_nulls_but_slope_counts_them_as_zero(spark):
     assert (row["mean"], row["gradient"]) == (4.0, 4.0)
 
 
+def test_rows_without_a_key_are_no_series(spark):
+    rows = snaps(spark, [("a", 0, 3), ("b", 1, 9)]).withColumn("link", F.lit(None).cast("string"))
+    changed = snapshots.article_changes(rows).collect()
+    assert {r["facebook_interactions_abs_change"] for r in changed} == {0}
+    assert labelling.article_gradient(rows).count() == 0
+    timed = spark.createDataFrame(
+        [(None, dt.datetime(2024, 1, 1)), (None, dt.datetime(2024, 1, 2)), ("i", dt.datetime(2024, 1, 2))],
+        "article_index string, published timestamp_ntz",
+    )
+    assert {r["hours_since_published"] for r in features.hours_since_previous(timed).collect()} == {0.0}
+
+
+def test_clipping_keeps_null(spark):
+    rows = spark.createDataFrame([(-1.0,), (None,), (2.0,)], "v double")
+    assert [r[0] for r in rows.select(values.clip_negative("v")).collect()] == [0.0, None, 2.0]
+
+
 def news(spark, rows):
     table = [
         (dt.datetime(2024, 1, 1), f"h{k}", None, f"l{k}", f"fb{k}", None, domain, count, source)
