@@ -103,9 +103,10 @@ def fit_power(df: DataFrame, column: str, rounds: int = 30, grid: int = 41) -> P
     """Find the power with the highest likelihood, then standardise.
 
     Each round evaluates a grid of powers in one aggregation over the data and the
-    next round narrows around the best one; one row per power comes back.
+    next round narrows around the best one; one row per power comes back. Nulls and
+    NaN are left out; a search that ends without an optimum raises ``ValueError``.
     """
-    known = df.select(F.col(column).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    known = df.select(F.col(column).cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
     x = F.col("_x")
     rows, logs, mean = known.agg(F.count("*"), F.sum(F.signum(x) * F.log1p(F.abs(x))), F.avg(x)).first()
     center, reach = 0.0, 2.0
@@ -125,12 +126,16 @@ def fit_power(df: DataFrame, column: str, rounds: int = 30, grid: int = 41) -> P
             for p in powers
         ]
         best = max(range(grid), key=scores.__getitem__)
+        if scores[best] == -math.inf:
+            raise ValueError(f"no power gives {column} a finite likelihood")
         center = powers[best]
         # At the edge of the grid the optimum may lie outside: move on without narrowing.
         if 0 < best < grid - 1:
             reach = 2 * reach / (grid - 1)
         if reach < 1e-6:
             break
+    else:
+        raise ValueError(f"the search for the power of {column} did not converge")
     mean, spread = known.agg(F.avg(yeo_johnson(x, center)), F.stddev_pop(yeo_johnson(x, center))).first()
     return PowerModel(column, center, ScalerModel(column, mean, spread))
 
