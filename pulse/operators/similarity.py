@@ -106,7 +106,7 @@ def _chain_by_steps(df: DataFrame, group: str, key: str, interactions: str, vect
     reference = settle(best.select(group, F.col("_unit").alias("_reference")))
     placed = None
     for step in range(steps):
-        left = rows if placed is None else rows.join(placed.select(key), key, "left_anti")
+        left = rows if placed is None else rows.join(placed.select(group, key), [group, key], "left_anti")
         near = left.join(reference, group).withColumn("_alike", values.dot("_unit", "_reference"))
         order = ["-_alike", f"-{interactions}", key]
         pair = settle(with_row_number(first_per_group(near, [group], order, 2), [group], order, "_place"))
