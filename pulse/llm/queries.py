@@ -2,17 +2,99 @@
 
 from __future__ import annotations
 
-from pulse.llm import token_counts
+from pyspark.sql import functions as F
+
+from pulse.llm import byte_bpe, language_id, license_scans, quality_rules, token_counts, url_filters
 from pulse.session import settle
 
 QUERIES, ORACLES = {}, {}
 
 
+def query(function):
+    QUERIES[function.__name__] = function
+    return function
+
+
+def documents(spark, folder):
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+@query
 def op1_token_counts(spark, folder):
     """Histogram of encoded lengths over all documents."""
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    lengths = token_counts.encoded_lengths(docs)
+    lengths = token_counts.encoded_lengths(documents(spark, folder))
     return token_counts.with_totals(settle(token_counts.length_histogram(lengths)))
 
 
-QUERIES["op1_token_counts"] = op1_token_counts
+@query
+def op4_quality_rules(spark, folder):
+    """Word counts, base verdict and line-first verdict of every document."""
+    return quality_rules.judge(documents(spark, folder)).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+    )
+
+
+@query
+def op5_language_id(spark, folder):
+    """Predicted language of every document, learnt from four fifths of them."""
+    docs = documents(spark, folder)
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    model = language_id.fit(docs.where(~held_out))
+    return language_id.predict(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+#: Rules of the contract: host, path, verdict.
+RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@query
+def op6_url_filters(spark, folder):
+    """Longest rule and verdict of every page."""
+    return url_filters.judge(spark.read.parquet(f"{folder}/pages.parquet"), url_filters.rules_frame(spark, RULES))
+
+
+@query
+def op8_license_scans(spark, folder):
+    """License labels of every document."""
+    return license_scans.scan(documents(spark, folder))
+
+
+@query
+def op10_bpe(spark, folder):
+    """Digests of ids and of the decoded text of every document."""
+    return byte_bpe.digests(documents(spark, folder))
+
+
+ORACLES["op6_url_filters"] = r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS rest FROM pages
+), p AS (
+  SELECT page_id,
+    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+  FROM u
+), r AS (
+  SELECT *, CASE
+    WHEN ('.' || host) LIKE '%.www.example.com' AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/') THEN 'com/'
+    WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/fr/') THEN 'net/fr/' END AS rule
+  FROM p
+)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict FROM r
+"""
