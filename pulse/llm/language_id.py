@@ -140,11 +140,17 @@ class Scorer:
         return np.sum([get(w) for w in words], axis=0)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str | None = None) -> DataFrame:
-    """``doc_id``, ``lang_pred`` and ``score`` (share of the best language, per word) for every text."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """``doc_id``, ``lang_pred`` and ``score`` (share of the best language, per word) for every text.
+
+    ``keep`` names more columns of the input to carry along; they take no part in the prediction.
+    """
     name = path or public_tokenizers.path("piece_bpe_32k.model")
     langs, table = model
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    columns = ["doc_id", "text", *(c for c in keep or [] if c not in ("doc_id", "text"))]
+    rows = docs.select(*columns)
+    out = ["doc_id"] if keep is None else columns
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*out).dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(name, table) if langs else None
@@ -162,6 +168,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str | No
                     mean = scorer.score(words) / len(words)
                     odds = np.exp(mean - mean.max())
                     best.append(langs[int(np.argmax(mean))]), share.append(float(odds.max() / odds.sum()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best, pa.string()), pa.array(share, pa.float64())], names=["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in out), pa.array(best, pa.string()), pa.array(share, pa.float64())],
+                    names=[*out, "lang_pred", "score"],
+                )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")

@@ -23,9 +23,8 @@ PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general publi
 TEMPLATES = [
     ("mit-notice", "released under the mit license"),
     ("apache-notice", "licensed under the apache license version 2 0"),
-    ("gpl-notice", "under the terms of the gnu general public license version 3"),
-    ("gpl-3", "gnu general public license version 3"),
-    ("gpl-2", "gnu general public license version 2"),
+    ("gpl-notice", "under the terms of the gnu general public license"),
+    ("gnu-gpl", "gnu general public license"),
     (
         "mit-text",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
@@ -74,7 +73,9 @@ def spans(docs: DataFrame, templates: list[tuple[str, str]], text: str = "text",
     grams = table.select("label", "size", F.posexplode(grams_of(F.split("words", " "))).alias("at", "gram"))
     if sum(len(w.split()) for _, w in templates) <= BROADCAST_GRAMS:
         grams = F.broadcast(grams)
-    rows = docs.select(F.xxhash64(doc_id, text).alias("uid"), F.posexplode(grams_of(words_of(F.col(text)))).alias("pos", "gram"))
+    # Words are a column of their own, so that they are cut once per text and not once per gram.
+    cut = docs.select(F.xxhash64(doc_id, text).alias("uid"), words_of(F.col(text)).alias("words"))
+    rows = cut.select("uid", F.posexplode(grams_of(F.col("words"))).alias("pos", "gram"))
     hits = rows.join(grams, "gram").select("uid", "label", "size", "pos", "at").distinct()
     votes = hits.groupBy("uid", "label", "size", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
         F.collect_set("at").alias("ats"), F.min("pos").alias("first"), F.max("pos").alias("last")

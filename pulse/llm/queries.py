@@ -4,7 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulse.llm import byte_bpe, language_id, license_scans, quality_rules, token_counts, url_filters
+import corpus_pipeline
+from pulse.llm import (
+    byte_bpe,
+    decontamination,
+    language_id,
+    license_scans,
+    minhash_dedup,
+    quality_rules,
+    token_counts,
+    token_ids,
+    url_filters,
+    warc,
+)
 from pulse.session import settle
 
 QUERIES, ORACLES = {}, {}
@@ -26,6 +38,19 @@ def op1_token_counts(spark, folder):
     return token_counts.with_totals(settle(token_counts.length_histogram(lengths)))
 
 
+@query
+def op2_near_dedup(spark, folder):
+    """Class and number of links of every document."""
+    return minhash_dedup.classes(documents(spark, folder))
+
+
+@query
+def op3_decontamination(spark, folder):
+    """Benchmark items found in documents."""
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return decontamination.leaks(documents(spark, folder), items)
+
+
 @query
 def op4_quality_rules(spark, folder):
     """Word counts, base verdict and line-first verdict of every document."""
@@ -50,6 +75,12 @@ def op5_language_id(spark, folder):
     return language_id.predict(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def pipeline(spark, folder):
+    """The whole pipeline of corpus_pipeline.py."""
+    return corpus_pipeline.run(spark, folder)
+
+
 #: Rules of the contract: host, path, verdict.
 RULES = [
     ("com", "/", "allow"),
@@ -66,12 +97,24 @@ def op6_url_filters(spark, folder):
     return url_filters.judge(spark.read.parquet(f"{folder}/pages.parquet"), url_filters.rules_frame(spark, RULES))
 
 
+@query
+def op7_warc(spark, folder):
+    """Response, metadata and conversion record of every page."""
+    return warc.derivatives(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
 @query
 def op8_license_scans(spark, folder):
     """License labels of every document."""
     return license_scans.scan(documents(spark, folder))
 
 
+@query
+def op9_token_ids(spark, folder):
+    """Places and checksums of every document's ids, read back from the written shards."""
+    return token_ids.round_trip(documents(spark, folder))
+
+
 @query
 def op10_bpe(spark, folder):
     """Digests of ids and of the decoded text of every document."""
