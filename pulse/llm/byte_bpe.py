@@ -12,7 +12,6 @@ Null and empty texts have no ids. Repeated rows are encoded alike; other columns
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -119,8 +118,10 @@ def codec(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def encoded(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None) -> DataFrame:
-    """``doc_id``, ``ids`` (bytes) and ``decoded`` of every text."""
+def encoded(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, decode: bool = True
+) -> DataFrame:
+    """``doc_id``, ``ids`` (bytes) and ``decoded`` (null when not asked for) of every text."""
     name, kind = path or default_path(), docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +131,7 @@ def encoded(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: s
                 part = batch.slice(at, 256)
                 ids = [bpe.encode(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())],
+                    [part.column(0), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) if decode else None for x in ids], pa.string())],
                     names=["doc_id", "ids", "decoded"],
                 )
 

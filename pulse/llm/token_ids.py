@@ -73,7 +73,7 @@ def write(docs: DataFrame, folder: str, text: str = "text", doc_id: str = "doc_i
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     columns = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     dealt = columns.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    ids = byte_bpe.encoded(dealt).select("doc_id", "ids", F.spark_partition_id().alias("part"))
+    ids = byte_bpe.encoded(dealt, decode=False).select("doc_id", "ids", F.spark_partition_id().alias("part"))
     end = np.asarray([END], "<u4").tobytes()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
