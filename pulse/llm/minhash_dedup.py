@@ -8,12 +8,19 @@ point, so two slots agree with the probability of the weighted Jaccard similarit
 only until no point can lower a slot. Signatures are cut into bands; texts that share a band are compared
 on their multisets.
 
+Inside a band bucket every text is compared with the bucket's first text, which joins groups of copies in
+one step. Texts of buckets that still hold several groups go through an exact join: their shingles are
+ordered by rarity, two similar texts must share one of the rarest fifth, and all pairs of different groups
+that do are compared. So no link between texts that share a band is lost.
+
 Texts with the same words are one class from the start, so copies never form pairs. Null texts and texts
-without words are alone, with no links. Other columns are not read; ids must be unique and not null.
+without words are alone. Other columns are not read; ids must be unique and not null (a row without an id
+keeps its row, with the class of its copies or none). An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,24 +28,46 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulse.session import settle
 
 WORDS = regex.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE, SLOTS, ROWS, SIMILAR = 5, 128, 4, 0.8
+#: Texts and shingles that one signature step of a task holds, and words whose hash a worker remembers.
+STEP_TEXTS, STEP_SHINGLES, REMEMBERED = 1_024, 500_000, 500_000
 #: Rounds of joining classes; a job that needs more raises instead of returning unfinished groups.
 ROUNDS = 60
 
 
+class _Hashes(dict):
+    """Hashes of words, kept for the next text."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = value = xxhash.xxh64_intdigest(word)
+        return value
+
+
+_HASHES = _Hashes()
+
+
+def _bag(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the word shingles, sorted, and their counts."""
+    if len(_HASHES) > REMEMBERED:
+        _HASHES.clear()
+    hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    n = max(1, len(words) - SHINGLE + 1) if words else 0
+    out = np.full(n, len(words) if len(words) < SHINGLE else SHINGLE, np.uint64)
+    for i in range(min(SHINGLE, len(words))):
+        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n])
+    return np.unique(out, return_counts=True)
+
+
 def shingles(text: str | None) -> Counter:
     """Hashes of the word shingles with their counts."""
-    words = WORDS.findall(text or "")
-    if not words:
-        return Counter()
-    last = max(1, len(words) - SHINGLE + 1)
-    return Counter(xxhash.xxh64_intdigest("\x1f".join(words[i : i + SHINGLE])) for i in range(last))
+    keys, counts = _bag(WORDS.findall(text or ""))
+    return Counter(dict(zip(keys.tolist(), counts.tolist())))
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -57,47 +86,76 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def signature(bag: Counter, slots: int = SLOTS) -> np.ndarray:
-    """The smallest point on every slot, over all processes of the multiset."""
-    keys = np.fromiter(bag.keys(), np.uint64, len(bag))
-    weights = np.fromiter(bag.values(), np.int64, len(bag))
+def _signatures(bags: list[tuple[np.ndarray, np.ndarray]], slots: int = SLOTS) -> np.ndarray:
+    """The smallest point on every slot, over all processes of each multiset; one row per multiset."""
+    keys = np.concatenate([k for k, _ in bags])
+    weights = np.concatenate([w for _, w in bags]).astype(np.int64)
     levels = np.ceil(np.log2(weights)).astype(np.int64)  # intervals (0,1], (1,2], (2,4], ...
     copies = levels + 1
+    owner = np.repeat(np.repeat(np.arange(len(bags)), [len(k) for k, _ in bags]), copies)
     seeds = np.repeat(keys, copies)
     level = np.arange(len(seeds)) - np.repeat(np.cumsum(copies) - copies, copies)
     weight = np.repeat(weights, copies)
     low = np.where(level == 0, 0, 2.0 ** (level - 1))
     rate = np.where(level == 0, 1.0, low)
     seeds = _mix(seeds ^ _mix(level.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
-    best, at, turn = np.full(slots, np.inf), np.zeros(len(seeds)), 0
+    best, at, turn = np.full((len(bags), slots), np.inf), np.zeros(len(seeds)), 0
     while len(seeds):
         turn += 1
         draw = _mix(seeds + np.uint64(turn * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
         at = at - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53) / rate
-        live = at < best.max()
+        live = at < best.max(axis=1)[owner]
         if not live.all():
-            seeds, at, rate, low, weight, draw = (x[live] for x in (seeds, at, rate, low, weight, draw))
+            seeds, at, rate, low, weight, draw, owner = (x[live] for x in (seeds, at, rate, low, weight, draw, owner))
         other = _mix(draw ^ np.uint64(0xD6E8FEB86659FD93))
         within = low + rate * ((other >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53 <= weight
-        np.minimum.at(best, (_mix(other) % np.uint64(slots)).astype(np.int64)[within], at[within])
+        slot = owner * slots + (_mix(other) % np.uint64(slots)).astype(np.int64)
+        np.minimum.at(best.reshape(-1), slot[within], at[within])
     return best
 
 
-def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``id`` and one hash per band, for rows (id, text) with words."""
+def signature(bag: Counter, slots: int = SLOTS) -> np.ndarray:
+    """The signature of one multiset."""
+    return _signatures([(np.fromiter(bag.keys(), np.uint64, len(bag)), np.fromiter(bag.values(), np.int64, len(bag)))], slots)[0]
+
+
+def _bands(bags: list[tuple[np.ndarray, np.ndarray]]) -> list[list[int]]:
+    """One hash per band of every multiset."""
+    rows = _signatures(bags).reshape(len(bags), -1, ROWS) if bags else []
+    return [[xxhash.xxh64_intdigest(r.tobytes(), i) - 2**63 for i, r in enumerate(one)] for one in rows]
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """``id``, ``key`` (digest of the words), ``weight`` (number of shingles) and ``bands`` of rows (id, text).
+
+    Texts without words have no bands, and a key of their own.
+    """
     kind = dict(docs.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, bands = [], []
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if bag := shingles(value):
-                    rows = signature(bag).reshape(-1, ROWS)
-                    ids.append(key)
-                    bands.append([xxhash.xxh64_intdigest(r.tobytes(), i) - 2**63 for i, r in enumerate(rows)])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(bands, pa.list_(pa.int64()))], names=["id", "bands"])
+        def step(ids: list, keys: list, bags: list) -> pa.RecordBatch:
+            full = iter(_bands([b for b in bags if len(b[0])]))
+            values = [
+                pa.array(ids, first), pa.array(keys, pa.binary()), pa.array([int(b[1].sum()) for b in bags], pa.int64()),
+                pa.array([next(full) if len(b[0]) else None for b in bags], pa.list_(pa.int64())),
+            ]
+            return pa.RecordBatch.from_arrays(values, names=["id", "key", "weight", "bands"])
 
-    return docs.select("id", F.col(text)).mapInArrow(run, f"id {kind}, bands array<long>")
+        for batch in batches:
+            first, ids, keys, bags, held = batch.schema.field(0).type, [], [], [], 0
+            for name, text in zip(batch.column(0), batch.column(1)):
+                words = WORDS.findall(text.as_py() or "")
+                ids.append(name.as_py())
+                keys.append(hashlib.sha256((" ".join(words) if words else f"\n{ids[-1]}").encode()).digest())
+                bags.append(_bag(words))
+                held += len(bags[-1][0])
+                if len(ids) == STEP_TEXTS or held >= STEP_SHINGLES:
+                    yield step(ids, keys, bags)
+                    ids, keys, bags, held = [], [], [], 0
+            if ids:
+                yield step(ids, keys, bags)
+
+    return docs.select("id", "text").mapInArrow(run, f"id {kind}, key binary, weight long, bands array<long>")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -115,10 +173,10 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, f"a {kind}, b {kind}, good boolean")
 
 
-def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``id`` and ``root``, the smallest id of its component, by min-label rounds with pointer jumps."""
-    labels = settle(nodes.select("id", F.col("id").alias("root")))
+def _components(links: DataFrame) -> DataFrame:
+    """``id`` and ``root``, the smallest id of its component, of all linked ids, by min-label rounds with pointer jumps."""
     both = settle(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = both.select(F.col("a").alias("id")).distinct().withColumn("root", F.col("id"))
     for _ in range(ROUNDS):
         near = both.join(labels.select(F.col("id").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("id")).agg(F.min("r").alias("r"))
         hooked = labels.join(near, "id", "left").select("id", F.col("root").alias("old"), F.least("root", "r").alias("root"))
@@ -131,41 +189,64 @@ def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     raise RuntimeError("near-duplicate groups did not settle")
 
 
-def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: id, ``class_id`` (the smallest id of its group) and ``n_links``.
+def _grams(texts: DataFrame) -> DataFrame:
+    """One row per shingle of rows (id, root, weight, text): ``gram`` and its count ``n``."""
+    kinds = dict(texts.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column(3)):
+                keys, counts = _bag(WORDS.findall(text.as_py() or ""))
+                same = pa.array([i] * len(keys), pa.int64())
+                columns = [batch.column(c).take(same) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["id", "root", "weight", "gram", "n"])
+
+    return texts.select("id", "root", "weight", "text").mapInArrow(run, f"id {kinds['id']}, root {kinds['root']}, weight long, gram long, n long")
 
-    Inside a band bucket each text is compared with the bucket's first text and with its two neighbours in
-    the order of a second signature hash; ``n_links`` counts the similar texts found that way, plus copies.
+
+def _rare_pairs(texts: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different roots that can be similar, for rows (id, root, weight, text).
+
+    In one order of all shingles, rarest first, two similar texts share a shingle of the first
+    ``weight - ceil(SIMILAR * weight) + 1``.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    clean = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    # Texts without words stay alone: their own id is part of the key.
-    key = F.sha2(F.when(clean != "", clean).otherwise(F.concat(F.lit("\n"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 256)
-    member = settle(rows.select("doc_id", key.alias("key")))
-    exact = settle(member.groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")))
-    texts = rows.join(exact.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
-    marks = settle(signatures(texts))
-    banded = marks.select("id", F.xxhash64("bands").alias("order"), F.posexplode("bands").alias("band", "hash"))
+    grams = settle(_grams(texts))
+    spread = grams.join(grams.groupBy("gram").agg(F.count("*").alias("df")), "gram")
+    before = Window.partitionBy("id").orderBy("df", "gram").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = spread.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    enough = F.col("weight") - F.ceil(F.col("weight") * SIMILAR - 1e-6) + 1
+    keys = settle(ranked.where((F.col("before") < enough) & (F.col("df") > 1)).select("gram", "id", "root", "weight"))
+    open_keys = keys.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    x = keys.join(open_keys.select("gram"), "gram")
+    y = keys.select("gram", F.col("id").alias("other"), F.col("root").alias("root2"), F.col("weight").alias("weight2"))
+    met = x.join(y, "gram").where((F.col("root") < F.col("root2")) & _sizes_fit("weight", "weight2"))
+    return met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def _sizes_fit(x: str, y: str) -> Column:
+    """Two multisets of very unlike sizes are never similar."""
+    return F.least(x, y) >= F.greatest(x, y) * SIMILAR - 1e-6
+
+
+def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row per document: id and ``class_id``, the smallest id of its group of near copies."""
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    seen = settle(signatures(rows))
+    exact = settle(seen.groupBy("key").agg(F.min("id").alias("rep")))
+    own = seen.where("bands is not null").join(exact.select(F.col("rep").alias("id")), "id", "left_semi")
+    banded = own.select("id", "weight", F.posexplode("bands").alias("band", "hash"))
     # The first text of a bucket is a minimum, summed before the shuffle; hot buckets stay small.
-    first = banded.groupBy("band", "hash").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    star = banded.join(first, ["band", "hash"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    checked = settle(_verify(star, texts))
-    found = checked.where("good").select("a", "b")
-    roots = _components(exact.select("id"), found)
-    # Texts of a bucket that the first round left in different groups: neighbours of another order, one per group.
-    left = banded.join(first.drop("a", "n"), ["band", "hash"]).join(roots, "id")
-    groups = left.groupBy("band", "hash", "root").agg(F.min(F.struct("order", "id")).alias("m"))
-    crowd = groups.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    line = Window.partitionBy("band", "hash").orderBy("m")
-    more = [
-        groups.join(crowd, ["band", "hash"]).select(F.col("m.id").alias("x"), F.lead("m.id", step).over(line).alias("y")) for step in (1, 2)
-    ]
-    second = more[0].union(more[1]).where("y is not null").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    again = settle(_verify(second.join(checked, ["a", "b"], "left_anti"), texts)).where("good").select("a", "b")
-    links = settle(found.union(again))
-    roots = _components(exact.select("id"), links)
-    ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
-    result = exact.join(roots, "id").join(ends, "id", "left")
-    return member.join(result, "key").select(
-        "doc_id", F.col("root").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
-    )
+    first = banded.groupBy("band", "hash").agg(F.min(F.struct("id", "weight")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    shared = settle(banded.join(first, ["band", "hash"]).select("band", "hash", "id", "weight", F.col("f.id").alias("a"), F.col("f.weight").alias("size")))
+    texts = settle(rows.join(shared.select("id").distinct(), "id", "left_semi"))
+    star = settle(shared.where("id <> a").where(_sizes_fit("weight", "size")).select("a", F.col("id").alias("b")).distinct())
+    found = settle(_verify(star, texts).where("good").select("a", "b"))
+    # Texts of buckets that the first round left in different groups.
+    grouped = shared.join(_components(found), "id", "left").select("band", "hash", "id", "weight", F.coalesce("root", "id").alias("root"))
+    mixed = grouped.groupBy("band", "hash").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    left = grouped.join(mixed.select("band", "hash"), ["band", "hash"]).select("id", "root", "weight").distinct()
+    pairs = _rare_pairs(texts.join(left, "id")).join(star, ["a", "b"], "left_anti")
+    again = _verify(settle(pairs), texts).where("good").select("a", "b")
+    roots = _components(settle(found.union(again))).select(F.col("id").alias("rep"), "root")
+    ends = exact.join(roots, "rep", "left").select("key", F.coalesce("root", "rep").alias("class_id"))
+    return seen.select(F.col("id").alias("doc_id"), "key").join(ends, "key").select("doc_id", "class_id")

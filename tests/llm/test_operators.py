@@ -217,3 +217,36 @@ def test_pipeline_runs_on_rows_with_nulls(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "nothing like it at all.")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()] == [8]
+
+
+def test_groups_lose_no_link_of_unlike_neighbours(spark):
+    """Chains, a shared passage and short texts: the same groups as all pairs compared."""
+    rnd = random.Random(11)
+    make = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    common, texts = make(150), []
+    for _ in range(40):  # one passage shared by unlike texts, each with a near copy
+        own = make(60)
+        texts += [[*common, *own], [*common, *own[:-2]]]
+    chain = make(100)
+    for _ in range(25):  # each text is like the one before, the ends are unlike
+        chain = [*chain[5:], *make(5)]
+        texts.append(chain)
+    texts += [["a", "b"], ["a", "b"], ["b", "a"], ["x"] * 300, ["x"] * 310, ["x"] * 600]
+    rnd.shuffle(texts)
+    texts = [" ".join(t) for t in texts]
+    bags = [minhash_dedup.shingles(t) for t in texts]
+    want = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if minhash_dedup.similarity(bags[a], bags[b]) >= 0.8 and want[a] != want[b]:
+                lo, hi = sorted((want[a], want[b]))
+                want = [lo if w == hi else w for w in want]
+    got = {r.doc_id: r.class_id for r in minhash_dedup.classes(frame(spark, texts)).collect()}
+    assert got == dict(enumerate(want))
+
+
+def test_groups_of_empty_tables_and_rows_without_ids(spark):
+    assert minhash_dedup.classes(frame(spark, [])).count() == 0
+    rows = spark.createDataFrame([(None, None), (None, "a b"), (3, "a  b")], "doc_id long, text string")
+    got = sorted(minhash_dedup.classes(rows).collect(), key=str)
+    assert [(r.doc_id, r.class_id) for r in got] == [(3, 3), (None, 3), (None, None)]
