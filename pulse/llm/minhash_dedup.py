@@ -208,18 +208,21 @@ def _rare_pairs(texts: DataFrame) -> DataFrame:
     """All pairs (a, b) of different roots that can be similar, for rows (id, root, weight, text).
 
     In one order of all shingles, rarest first, two similar texts share a shingle of the first
-    ``weight - ceil(SIMILAR * weight) + 1``.
+    ``weight - ceil(SIMILAR * weight) + 1``. At the first one they share, neither may have passed so many
+    others that what follows is less than the overlap they need; a long passage that many texts quote thus
+    gives no pairs of texts whose own words differ.
     """
     grams = settle(_grams(texts))
     spread = grams.join(grams.groupBy("gram").agg(F.count("*").alias("df")), "gram")
     before = Window.partitionBy("id").orderBy("df", "gram").rowsBetween(Window.unboundedPreceding, -1)
     ranked = spread.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     enough = F.col("weight") - F.ceil(F.col("weight") * SIMILAR - 1e-6) + 1
-    keys = settle(ranked.where((F.col("before") < enough) & (F.col("df") > 1)).select("gram", "id", "root", "weight"))
+    keys = settle(ranked.where((F.col("before") < enough) & (F.col("df") > 1)).select("gram", "id", "root", "weight", (F.col("weight") - F.col("before")).alias("rest")))
     open_keys = keys.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     x = keys.join(open_keys.select("gram"), "gram")
-    y = keys.select("gram", F.col("id").alias("other"), F.col("root").alias("root2"), F.col("weight").alias("weight2"))
-    met = x.join(y, "gram").where((F.col("root") < F.col("root2")) & _sizes_fit("weight", "weight2"))
+    y = keys.select("gram", F.col("id").alias("other"), F.col("root").alias("root2"), F.col("weight").alias("weight2"), F.col("rest").alias("rest2"))
+    need = (F.col("weight") + F.col("weight2")) * (SIMILAR / (1 + SIMILAR)) - 1e-6
+    met = x.join(y, "gram").where((F.col("root") < F.col("root2")) & (F.least("rest", "rest2") >= need))
     return met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
