@@ -3,32 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
-import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulse.llm.byte_bpe import codec, default_path
+
 # Lengths are cut into blocks of this many, so that no window holds more rows.
 BLOCK = 1_024
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
 def encoded_lengths(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """One row ``n_tokens`` per document; null and empty texts have 0 tokens."""
-    name = path or public_tokenizers.path("byte_bpe_50k.json")
+    name = path or default_path()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _tokenizer(name).encode
+        encode = codec(name).encode
         for batch in batches:
-            sizes = [len(encode(t or "", add_special_tokens=False).ids) for t in batch.column(0).to_pylist()]
+            sizes = [len(encode(t)) // 4 for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64())], names=["n_tokens"])
 
     return docs.select(F.col(text)).mapInArrow(count, "n_tokens bigint")
