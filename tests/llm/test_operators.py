@@ -203,6 +203,44 @@ def test_leaks_against_brute_force(spark, data):
     assert decontamination.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_leaks_of_quoted_spans_are_all_found(spark, data):
+    """Answers, halves, spans and scattered pieces of items, alone and between other words: both branches."""
+    rnd, items = random.Random(3), spark.read.parquet(f"{data}/benchmark.parquet")
+    listed = [(r.item_id, r.text) for r in items.collect()] + [
+        (900, "the the the the the the zebra crossing is wide. The road is the road."),
+        (901, "one two three"),
+        (902, "Which of them is it, the one of the first or of the last? Yes."),
+    ]
+    other = [w for _, t in listed for w in decontamination.words_of(t)]
+    fill = lambda n: [rnd.choice(other) for _ in range(n)]
+    texts = []
+    for _, text in listed:
+        words = decontamination.words_of(text)
+        answer = decontamination.words_of(re.split(r"(?<=[.?!])\s+", text.strip())[-1])
+        half = len(words) // 2
+        quotes = [[answer], [words[:half]], [words[half:]], [words[: half + 5]], [words[i : i + 7] for i in range(0, len(words), 8)]]
+        quotes += [[words[i : i + rnd.randrange(5, len(words) + 6)]] for i in (rnd.randrange(max(1, len(words) - 5)) for _ in range(6))]
+        for quote in quotes:
+            texts.append(" ".join(w for q in quote for w in [*q, *fill(150)]))
+            texts.append(" ".join(w for q in quote for w in q))
+    parts = []
+    for i, text in listed:
+        words = decontamination.words_of(text)
+        sentences = [s for s in re.split(r"(?<=[.?!])\s+", text.strip()) if decontamination.words_of(s)]
+        parts.append((i, decontamination.grams(words), decontamination.grams(decontamination.words_of(sentences[-1]))))
+    want, by_answer = set(), 0
+    for d, text in enumerate(texts):
+        mine = decontamination.grams_in(decontamination.words_of(text), {1, 2, 3, 4, 5})
+        for i, whole, answer in parts:
+            q, a = len(whole & mine) / len(whole), len(answer & mine) / len(answer)
+            if q >= 0.5 or (a >= 0.5 and q >= 0.25):
+                want.add((d, i))
+                by_answer += q < 0.5
+    found = decontamination.leaks(frame(spark, texts), spark.createDataFrame(listed, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert by_answer and got == want
+
+
 def test_archive_records_are_linked():
     rows = warc.derive(1, "http://a/", "<p>A&amp;B<script>x</script><a href='/c'>c</a></p>")
     (_, source, _), (_, _, meta), (_, _, text) = rows
