@@ -3,7 +3,9 @@
 All rolling word 3-gram hashes of every text are joined to their places in license templates. Hits of
 one text and template vote for the diagonal (place in the text less place in the template); diagonals at
 most ``GAP`` apart are merged and the merged span is verified by the share of template words its hits
-cover. Null texts count as empty; texts without words get nulls, zeros and empty labels. Rows that
+cover. It must also hold the template's distinguishing words (third item of a template), on one diagonal,
+so side by side: usual words such as "released under the" verify nothing. A template of fewer than ``SHORT``
+words that names none must stand whole. Null texts count as empty; texts without words get nulls, zeros and empty labels. Rows that
 repeat id and text get the same result each.
 """
 
@@ -14,17 +16,17 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-K, GAP, SHARE = 3, 2, 0.6
+K, GAP, SHARE, SHORT = 3, 2, 0.6, 12
 #: Templates of more grams than this are joined by a shuffle instead of a broadcast.
 BROADCAST_GRAMS = 100_000
 
 # Phrases with their labels, and the usual words of public licenses and notices.
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 TEMPLATES = [
-    ("mit-notice", "released under the mit license"),
-    ("apache-notice", "licensed under the apache license version 2 0"),
-    ("gpl-notice", "under the terms of the gnu general public license"),
-    ("gnu-gpl", "gnu general public license"),
+    ("mit-notice", "released under the mit license", "mit license"),
+    ("apache-notice", "licensed under the apache license version 2 0", "apache license"),
+    ("gpl-notice", "under the terms of the gnu general public license", "gnu general public license"),
+    ("gnu-gpl", "gnu general public license", "gnu general public license"),
     (
         "mit-text",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
@@ -64,34 +66,46 @@ def _phrase_places(words: Column, phrase: str) -> Column:
     return F.filter(starts, whole)
 
 
-def spans(docs: DataFrame, templates: list[tuple[str, str]], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def _core(words: str, core: str | None = None) -> tuple[int, int]:
+    """First place of the words a span must hold, and the place after them; (0, 0) for none."""
+    every = words.split()
+    part = core.split() if core else every if len(every) < SHORT else []
+    return next((i, i + len(part)) for i in range(len(every) + 1) if every[i : i + len(part)] == part)
+
+
+def spans(docs: DataFrame, templates: list[tuple[str, ...]], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Verified spans: row key, label, first and last word of the span, share of the template found."""
     spark = docs.sparkSession
     table = spark.createDataFrame(
-        [(label, words, len(words.split())) for label, words in templates], "label string, words string, size int"
+        [(label, words, len(words.split()), *_core(words, *core)) for label, words, *core in templates],
+        "label string, words string, size int, low int, high int",
     )
-    grams = table.select("label", "size", F.posexplode(grams_of(F.split("words", " "))).alias("at", "gram"))
-    if sum(len(w.split()) for _, w in templates) <= BROADCAST_GRAMS:
+    grams = table.select("label", "size", "low", "high", F.posexplode(grams_of(F.split("words", " "))).alias("at", "gram"))
+    if sum(len(w.split()) for _, w, *_ in templates) <= BROADCAST_GRAMS:
         grams = F.broadcast(grams)
     # Words are a column of their own, so that they are cut once per text and not once per gram.
     cut = docs.select(F.xxhash64(doc_id, text).alias("uid"), words_of(F.col(text)).alias("words"))
     rows = cut.select("uid", F.posexplode(grams_of(F.col("words"))).alias("pos", "gram"))
-    hits = rows.join(grams, "gram").select("uid", "label", "size", "pos", "at").distinct()
-    votes = hits.groupBy("uid", "label", "size", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
+    hits = rows.join(grams, "gram").select("uid", "label", "size", "low", "high", "pos", "at").distinct()
+    votes = hits.groupBy("uid", "label", "size", "low", "high", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
         F.collect_set("at").alias("ats"), F.min("pos").alias("first"), F.max("pos").alias("last")
     )
+    # The grams of one diagonal that lie over the distinguishing words cover each of them.
+    places = F.sequence("low", F.col("high") - 1)
+    held = F.forall(places, lambda p: F.exists("ats", lambda a: (a <= p) & (p < a + K)))
     along = Window.partitionBy("uid", "label").orderBy("diagonal")
     gap = F.col("diagonal") - F.lag("diagonal").over(along)
     merged = (
-        votes.withColumn("_new", F.when(gap <= GAP, 0).otherwise(1))
+        votes.withColumn("_held", F.when(F.col("high") > F.col("low"), held).otherwise(True))
+        .withColumn("_new", F.when(gap <= GAP, 0).otherwise(1))
         .withColumn("_run", F.sum("_new").over(along))
-        .groupBy("uid", "label", "size", "_run")
-        .agg(F.flatten(F.collect_list("ats")).alias("ats"), F.min("first").alias("first"), F.max("last").alias("last"))
+        .groupBy("uid", "label", "size", "low", "high", "_run")
+        .agg(F.flatten(F.collect_list("ats")).alias("ats"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("_held").alias("_held"))
     )
     found = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + (K - 1)))))
     return (
         merged.withColumn("share", F.size(found) / F.col("size"))
-        .where(F.col("share") >= SHARE)
+        .where((F.col("share") >= SHARE) & F.col("_held"))
         .select("uid", "label", "first", (F.col("last") + (K - 1)).alias("last"), "share")
     )
 

@@ -133,6 +133,28 @@ def test_license_edges(spark):
     assert (got[9].n_base, got[9].first_word, got[9].labels, got[0].n_words) == (0, None, "", 0)
 
 
+def test_license_near_misses(spark):
+    """Usual words of a notice are no license; other notices of the same license are."""
+    long = dict(t[:2] for t in license_scans.TEMPLATES)["bsd-text"]
+    cases = [
+        ("released under the apache license", "apache"),
+        ("the album was released under the label", ""),
+        ("under the terms of the gnu free documentation license", ""),
+        ("under the terms of the gnu lesser general public license", "gpl"),
+        ("licensed under the creative commons license version 2 0", ""),
+        ("released under the x license of mit license fame", "mit"),
+        ("distributed under the mit license", "mit,mit-notice"),
+        ("licensed under the Apache License, Version 2.0", "apache,apache-notice"),
+        ("version 2 of the GNU General Public License", "gnu-gpl,gpl,gpl-notice"),
+        (long.replace("without modification", "without any modification"), "bsd-text"),
+    ]
+    got = {r.doc_id: r for r in license_scans.scan(frame(spark, [t for t, _ in cases])).collect()}
+    assert {t: got[i].labels for i, (t, _) in enumerate(cases)} == dict(cases)
+    short = [("x", "made under the blue license"), ("y", "one two three four five six seven eight nine ten eleven twelve thirteen")]
+    texts = ["made under the blue license", "made under the red license", short[1][1].replace("ten ", "")]
+    assert [r.labels for r in license_scans.scan(frame(spark, texts), templates=short).orderBy("doc_id").collect()] == ["x", "", "y"]
+
+
 def brute_ids(texts):
     encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     return encode, [encode.encode(t or "", add_special_tokens=False).ids for t in texts]
