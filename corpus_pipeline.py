@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulse.llm import byte_bpe, decontamination, language_id, minhash_dedup, quality_rules
@@ -11,11 +11,19 @@ from pulse.session import scratch_path
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _row_key() -> Column:
+    """The same bytes for rows alike in every column; in order of ``doc_id``, rows without one last."""
+    value = lambda c: F.coalesce(F.md5(F.col(c).cast("string").cast("binary")), F.lit("null"))
+    digest = F.md5(F.concat_ws(" ", *(value(c) for c in COLUMNS)).cast("binary"))
+    place = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(2**63)).cast("long"))), 16, "0")
+    return F.unhex(F.coalesce(F.concat(F.lit("00"), place, F.substring(digest, 1, 16)), F.concat(F.lit("01"), digest)))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters go; ``lang`` becomes the predicted language."""
+    """Texts without letters go; ``lang`` becomes the predicted language, ``und`` if no row is labelled."""
     model = language_id.fit(docs)
     said = language_id.predict(docs, model, keep=COLUMNS)
-    return said.where("lang_pred <> 'und'").select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+    return said.where((F.col("lang_pred") != "und") | F.col("text").rlike(r"\p{L}")).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,16 +35,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id."""
-    keep = minhash_dedup.classes(docs).where("doc_id = class_id").select("doc_id")
-    return docs.join(keep, "doc_id", "left_semi").select(*COLUMNS)
+    """One document of each group of near copies stays, the one with the smallest id.
+
+    Rows without an id stay if their group has no row with one; rows alike in every column count once.
+    """
+    rows = docs.select(*COLUMNS).withColumn("_row", _row_key())
+    keep = minhash_dedup.classes(rows, doc_id="_row", repeated=True).where("doc_id = class_id").select(F.col("doc_id").alias("_row"))
+    once = Window.partitionBy("_row").orderBy("_row")
+    kept = rows.join(keep, "_row", "left_semi").withColumn("_n", F.row_number().over(once)).where("_n = 1")
+    return kept.select(*COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontamination.leaks(docs, items).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    rows = docs.select(*COLUMNS).withColumn("_row", _row_key())
+    found = decontamination.leaks(rows, items, doc_id="_row").select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(found, "_row", "left_anti").select(*COLUMNS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -231,17 +231,22 @@ def _sizes_fit(x: str, y: str) -> Column:
     return F.least(x, y) >= F.greatest(x, y) * SIMILAR - 1e-6
 
 
-def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: id and ``class_id``, the smallest id of its group of near copies."""
+def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", repeated: bool = False) -> DataFrame:
+    """One row per document: id and ``class_id``, the smallest id of its group of near copies.
+
+    ``repeated`` allows rows that repeat id and text.
+    """
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     seen = settle(signatures(rows))
     exact = settle(seen.groupBy("key").agg(F.min("id").alias("rep")))
     own = seen.where("bands is not null").join(exact.select(F.col("rep").alias("id")), "id", "left_semi")
+    own = own.dropDuplicates(["id"]) if repeated else own
     banded = own.select("id", "weight", F.posexplode("bands").alias("band", "hash"))
     # The first text of a bucket is a minimum, summed before the shuffle; hot buckets stay small.
     first = banded.groupBy("band", "hash").agg(F.min(F.struct("id", "weight")).alias("f"), F.count("*").alias("n")).where("n > 1")
     shared = settle(banded.join(first, ["band", "hash"]).select("band", "hash", "id", "weight", F.col("f.id").alias("a"), F.col("f.weight").alias("size")))
-    texts = settle(rows.join(shared.select("id").distinct(), "id", "left_semi"))
+    met = rows.join(shared.select("id").distinct(), "id", "left_semi")
+    texts = settle(met.dropDuplicates(["id"]) if repeated else met)
     star = settle(shared.where("id <> a").where(_sizes_fit("weight", "size")).select("a", F.col("id").alias("b")).distinct())
     found = settle(_verify(star, texts).where("good").select("a", "b"))
     # Texts of buckets that the first round left in different groups.

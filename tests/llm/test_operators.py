@@ -279,6 +279,24 @@ def test_pipeline_runs_on_rows_with_nulls(spark, tmp_path):
     assert [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()] == [8]
 
 
+def test_pipeline_keeps_rows_without_ids_and_repeats_once(spark, tmp_path):
+    """No labelled row, null ids with and without copies, repeated rows, one id on two texts."""
+    prose = lambda k: " ".join(f"Word{k}x{i} and other{k}y{i}." for i in range(40))
+    leak = "Which of the seven quiet rivers runs north past the old mill? The green one does so."
+    rows = [(None, prose(0)), (3, prose(1)), (3, prose(1)), (3, prose(1)), (None, prose(1)), (5, prose(1) + " end")]
+    rows += [(None, prose(2)), (None, prose(2)), (7, prose(3)), (7, prose(4)), (None, prose(5) + " " + leak), (7, prose(6) + " " + leak), (-4, prose(3) + " end"), (9, "...")]
+    docs = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in rows], DOCS)
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept, here = docs, str(tmp_path)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        stage(spark, kept, here).write.parquet(f"{here}/{name}")
+        kept = spark.read.parquet(f"{here}/{name}")
+    got = sorted((r.doc_id or 0, r.text) for r in kept.collect())
+    assert got == sorted([(0, prose(0)), (3, prose(1)), (0, prose(2)), (7, prose(4)), (-4, prose(3) + " end")])
+    assert corpus_pipeline.run(spark, here).count() == 5
+
+
 def test_groups_lose_no_link_of_unlike_neighbours(spark):
     """Chains, a shared passage and short texts: the same groups as all pairs compared."""
     rnd = random.Random(11)
