@@ -84,6 +84,13 @@ def minmax_of_train(spark, folder):
     return model.transform(rows).select("doc_id", r6("facebook_interactions").alias("facebook_interactions"))
 
 
+#: The encoder's own width, and every numeric feature of an article.
+_WIDTH = 1024
+_NUMERIC = ["facebook_interactions", "hours_since_published", "day_of_week_published", "hour_of_day_published"]
+_NUMERIC += [f"{c}_{k}word_count" for c in features.TEXTS for k in ("", "non_stop_", "unique_")]
+_NUMERIC += [f"{c}_{k}" for c in features.TEXTS for k in ("sentiment", "subjectivity")]
+
+
 def _embedded(spark, folder, size=128):
     rows = a.articles(spark, folder).select("doc_id", "headline", "article_theme", "facebook_interactions")
     encoder = models.HashingEncoder.fit(rows, "headline", size)
@@ -98,21 +105,25 @@ def embed(spark, folder):
 
 @check("x06_suggest_labels")
 def suggest_labels(spark, folder):
-    rows = _embedded(spark, folder).join(
-        a.labels(spark, folder).select(F.regexp_extract("link", r"\d+", 0).cast("long").alias("doc_id"), "themes"),
+    rows = _embedded(spark, folder, _WIDTH).join(
+        a.labels(spark, folder).select(F.regexp_extract("link", r"\d+", 0).cast("long").alias("doc_id"), "themes", "indexes"),
         "doc_id",
         "left",
     )
     rows = settle(rows)
-    model = models.LabelSuggester.fit(rows.where(F.col("themes").isNotNull()), "themes", ["de", "en", "es", "fr"], rounds=5)
-    return models.suggest_labels(rows, model, "suggested").select("doc_id", joined("suggested").alias("suggested"))
+    for kind, output in (("themes", "suggested"), ("indexes", "suggested_indexes")):
+        known = rows.where(F.col(kind).isNotNull())
+        names = known.select(F.explode(kind).alias("name")).distinct().orderBy("name").collect()
+        model = models.LabelSuggester.fit(known, kind, [r.name for r in names])
+        rows = models.suggest_labels(rows, model, output)
+    return rows.select("doc_id", joined("suggested").alias("suggested"), joined("suggested_indexes").alias("suggested_indexes"))
 
 
 @check("x07_train_labels")
 def train_labels(spark, folder):
-    rows = settle(_embedded(spark, folder).withColumn("label", F.col("article_theme")))
+    rows = settle(_embedded(spark, folder, _WIDTH).select("doc_id", "vector", F.col("article_theme").alias("label")))
     split = models.stratified_split(rows, "label", "doc_id")
-    model = models.train_labels(split.where("split = 'train'"), rounds=10)
+    model = models.train_labels(split.where("split = 'train'"))
     ranked = models.ranked_labels(split.where("split = 'test'"), model)
     return ranked.select("doc_id", "label", joined("suggested_labels").alias("suggested_labels"))
 
@@ -203,11 +214,12 @@ def taxonomy_labels(spark, folder):
 @check("x13_fusion_classifier")
 def fusion_classifier(spark, folder):
     known = a.predictions(spark, folder).select("doc_id", "label")
-    rows = _embedded(spark, folder, 32).join(known, "doc_id")
-    rows = settle(rows.withColumn("length", F.col("facebook_interactions").cast("double")))
-    split = models.stratified_split(rows, "label", "doc_id", 0.2, 0.2)
-    scaled = scaling.MinMaxModel.fit(split.where("split = 'train'"), ["length"]).transform(split)
-    model = models.fusion_classifier(scaled.where("split = 'train'"), ["length"], rounds=10)
+    made = jobs.engineer_features(a.articles(spark, folder), "doc_id", a.lexicon(spark, folder), ["doc_id"])
+    made = made.select("doc_id", *[F.col(c).cast("double").alias(c) for c in _NUMERIC])
+    rows = _embedded(spark, folder, _WIDTH).drop(*_NUMERIC).join(known, "doc_id").join(made, "doc_id")
+    split = models.stratified_split(settle(rows), "label", "doc_id", 0.2, 0.2)
+    scaled = scaling.MinMaxModel.fit(split.where("split = 'train'"), _NUMERIC).transform(split)
+    model = models.fusion_classifier(scaled.where("split = 'train'"), _NUMERIC)
     return model.transform(scaled.where("split = 'test'")).select("doc_id", "label", "pred_y")
 
 

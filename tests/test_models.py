@@ -170,3 +170,28 @@ def test_fusion_of_text_and_numbers(spark):
 def test_single_day_projection_is_flat(spark):
     rows = spark.createDataFrame([("i", 1, 5.0)], "article_index string, day long, facebook_interactions double")
     assert [r["forecast"] for r in labelling.project_index(rows, 2).collect()] == [5.0, 5.0]
+
+
+def test_label_queries_run_the_whole_job(spark, data, monkeypatch):
+    """Default rounds, every theme and index of the labels table, all numeric features."""
+    from pulse.plans.checks import learning
+
+    seen = []
+
+    def spy(owner, name, wrap):
+        real = getattr(owner, name)
+        monkeypatch.setattr(owner, name, wrap(lambda *args, **more: (seen.append((name, args, more)), real(*args, **more))[1]))
+
+    spy(models.LabelSuggester, "fit", staticmethod)
+    spy(models, "train_labels", lambda f: f)
+    spy(models, "fusion_classifier", lambda f: f)
+    row = learning.suggest_labels(spark, data).first()
+    assert {"suggested", "suggested_indexes"} < set(row.asDict())
+    for query in (learning.train_labels, learning.fusion_classifier):
+        assert query(spark, data).count() > 0
+    assert not any("rounds" in more for _, _, more in seen)
+    names = {args[1]: set(args[2]) for name, args, _ in seen if name == "fit"}
+    for kind in ("themes", "indexes"):
+        assert names[kind] == {x for r in adapters.labels(spark, data).collect() for x in r[kind]}
+    assert "toxic" in names["themes"]
+    assert len(next(args[1] for name, args, _ in seen if name == "fusion_classifier")) == 19
