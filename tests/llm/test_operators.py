@@ -41,7 +41,7 @@ def test_same_rows_as_sql(spark, data, name):
 
 
 def test_every_operator_is_registered():
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES if n != "pipeline"} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES if n != "pipeline"} == set(range(1, 14))
 
 
 def brute_quality(text):
