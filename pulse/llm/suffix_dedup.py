@@ -39,7 +39,11 @@ from pulse.session import settle
 LENGTH, ANCHOR = 200, 40
 SPAN = LENGTH - ANCHOR + 1  # anchors in a window, and windows an anchor can own
 #: Bytes hashed at once, distinct segments in a collection, and distinct segments of one anchor in a collection.
-CHUNK, BLOCK, HOT = 1 << 20, 4_096, 16_384
+CHUNK, BLOCK, HOT = 1 << 17, 1_024, 16_384
+#: Bits for positions in a chunk.
+PLACE = 18
+#: Bands of windows that are looked up by a longer string around their anchor.
+BANDS = 2
 END = 255  # never a byte of UTF-8
 
 
@@ -64,17 +68,18 @@ def anchor_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def owners(hashes: np.ndarray) -> np.ndarray:
-    """For every window start, the position of the leftmost smallest hash among its ``SPAN`` anchors."""
-    value, place, have = hashes, np.arange(len(hashes), dtype=np.int64), 1
-
-    def joined(value, place, by):
-        right = value[by:] < value[:-by]
-        return np.where(right, value[by:], value[:-by]), np.where(right, place[by:], place[:-by])
+    """For every window start, the position of the leftmost smallest hash among its ``SPAN`` anchors.
 
+    Hashes are compared without their last ``PLACE`` bits, which hold the position meanwhile.
+    """
+    low = np.uint64((1 << PLACE) - 1)
+    value, have = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), 1
     while have * 2 <= SPAN:
-        value, place = joined(value, place, have)
+        value = np.minimum(value[have:], value[:-have])
         have *= 2
-    return joined(value, place, SPAN - have)[1] if SPAN > have else place
+    if SPAN > have:
+        value = np.minimum(value[SPAN - have :], value[: have - SPAN])
+    return (value & low).astype(np.int64)
 
 
 def segments_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
@@ -82,19 +87,17 @@ def segments_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
 
     ``data`` holds texts one after the other, text i from ``starts[i]`` to ``ends[i]``.
     """
-    empty = np.zeros(0, np.int64)
     if len(data) < LENGTH:
-        return empty, empty, empty, empty.astype(np.uint64)
+        return *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64)
     hashes = anchor_hashes(data)
-    owner = owners(hashes)
-    text = np.repeat(np.arange(len(starts)), np.maximum(0, ends - starts - LENGTH + 1))
-    before = np.cumsum(np.maximum(0, ends - starts - LENGTH + 1)) - np.maximum(0, ends - starts - LENGTH + 1)
-    window = np.arange(len(text)) - before[text] + starts[text]
-    if not len(window):
-        return empty, empty, empty, empty.astype(np.uint64)
-    own = owner[window]
-    first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (text[1:] != text[:-1])])
-    return text[first], window[first], np.diff(np.r_[first, len(window)]), hashes[own[first]]
+    own = owners(hashes)
+    first = np.union1d(np.flatnonzero(own[1:] != own[:-1]) + 1, starts[starts < len(own)])
+    text = np.searchsorted(starts, first, "right") - 1
+    # Of texts that begin at the same byte all but the last are empty.
+    until = np.minimum(np.r_[first[1:], len(own)], ends[text] - LENGTH + 1)
+    real = until > first
+    first, text, until = first[real], text[real], until[real]
+    return text, first, until - first, hashes[own[first]]
 
 
 def _pieces(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -122,6 +125,18 @@ def text_key(text: Column) -> list[Column]:
 PLACES = "t1 long, t2 long, h long, d long, at int, n int"
 
 
+def anchors(texts: DataFrame) -> DataFrame:
+    """The anchor's hash of every segment of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, starts, ends, _, _ in _pieces(batch.column(0)):
+                h = segments_of(data, starts, ends)[3]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+
+    return texts.select("text").mapInArrow(run, "h long")
+
+
 def segments(texts: DataFrame) -> DataFrame:
     """One row per segment of every text: text key, hashes of anchor and content, first window, windows."""
 
@@ -133,8 +148,7 @@ def segments(texts: DataFrame) -> DataFrame:
                 view = memoryview(data)
                 digest = xxhash.xxh3_64_intdigest
                 d = np.fromiter((digest(view[a : a + m + LENGTH - 1]) for a, m in zip(window.tolist(), n.tolist())), np.uint64, len(n))
-                at = window - starts[text] + offsets[text] if len(text) else window
-                who = rows[text] if len(text) else text
+                at, who = window - starts[text] + offsets[text], rows[text]
                 columns = [t1[who], t2[who], h.view(np.int64), d.view(np.int64), at.astype(np.int32), n.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["t1", "t2", "h", "d", "at", "n"])
 
@@ -146,42 +160,48 @@ class Columns:
 
     def __init__(self, texts: list[bytes]):
         m = len(texts)
-        self.sizes = np.array([len(t) for t in texts])
+        self.sizes = np.array([len(t) for t in texts], np.int64)
         width = int(self.sizes.max(initial=0))
         # Column j holds the j-th symbol from the end, END where the text is over.
-        self.symbols = np.full((m, width + 1), END, np.uint8)
+        symbols = np.full((width + 1, m), END, np.uint8)
         for i, t in enumerate(texts):
-            self.symbols[i, : len(t)] = np.frombuffer(t, np.uint8)[::-1]
+            symbols[: len(t), i] = np.frombuffer(t, np.uint8)[::-1]
         # Round 0: the empty suffixes in order of the texts, each preceded by its text's last symbol.
-        self.bwt, self.lcp, self.m = self.symbols[:, 0].copy(), np.zeros(m, np.uint16), m
+        self.bwt, self.lcp, self.m = symbols[0].copy(), np.zeros(m + 1, np.uint16), m
+        self.count = np.bincount(self.bwt, minlength=256)
         place, active = np.arange(m), np.arange(m)
         for j in range(1, width + 1):
             going = self.sizes[active] >= j
             active, place = active[going], place[going]
-            place = self._insert(place, self.symbols[active, j])
+            place = self._insert(place, symbols[j, active])
+        self.lcp = self.lcp[:-1]
 
     def _insert(self, place: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Insert the suffixes one symbol longer than those at ``place``; return their new places."""
-        bwt, lcp, n = self.bwt, self.lcp, len(self.bwt)
-        order = np.argsort(bwt, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.arange(n)
-        r = rank[place]
+        bwt, n = self.bwt, len(self.bwt)
         symbol = bwt[place]
+        # The old places in order of their symbols; a place's rank there is its new place after the empty suffixes.
+        order = np.argsort(bwt, kind="stable")
+        opens = np.cumsum(self.count) - self.count
+        by = np.argsort(symbol.astype(np.int64) << 40 | place)
+        cuts = np.flatnonzero(np.diff(symbol[by].astype(np.int16), prepend=-1))
+        rank = np.empty(len(place), np.int64)
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(by)]):
+            mine, c = by[a:b], symbol[by[a]]
+            rank[mine] = opens[c] + np.searchsorted(order[opens[c] : opens[c] + self.count[c]], place[mine])
         # Occurrences of the same symbol next to this one in the old order, if any.
-        left, right = order[np.maximum(r - 1, 0)], order[np.minimum(r + 1, n - 1)]
-        has_left = (r > 0) & (bwt[left] == symbol)
-        has_right = (r < n - 1) & (bwt[right] == symbol)
+        has_left, has_right = rank > opens[symbol], rank < opens[symbol] + self.count[symbol] - 1
+        left, right = order[rank - 1], order[np.minimum(rank + 1, n - 1)]
         own, after = self._least(left, place, has_left), self._least(place, right, has_right)
-        to = self.m + r
-        fresh = np.zeros(n + len(place), bool)
-        fresh[to] = True
-        by = np.argsort(to)
-        self.bwt, self.lcp = np.empty(len(fresh), np.uint8), np.empty(len(fresh), np.uint16)
-        self.bwt[fresh], self.bwt[~fresh] = before[by], bwt
-        self.lcp[~fresh] = lcp
-        self.lcp[to] = own
-        self.lcp[to[has_right] + 1] = after[has_right]
+        to = self.m + rank
+        old = np.ones(n + len(place), bool)
+        old[to] = False
+        wider, longer = np.empty(len(old), np.uint8), np.zeros(len(old) + 1, np.uint16)
+        wider[old], wider[to] = bwt, before
+        longer[:-1][old], longer[to] = self.lcp[:-1], own
+        longer[to[has_right] + 1] = after[has_right]
+        self.bwt, self.lcp = wider, longer
+        self.count += np.bincount(before, minlength=256)
         return to
 
     def _least(self, low: np.ndarray, high: np.ndarray, real: np.ndarray) -> np.ndarray:
@@ -190,8 +210,9 @@ class Columns:
         by = np.flatnonzero(real)
         by = by[np.argsort(low[by])]
         if len(by):
-            ends = np.column_stack([low[by] + 1, high[by] + 1]).reshape(-1)
-            out[by] = np.minimum.reduceat(np.r_[self.lcp, np.uint16(0)], ends)[::2] + 1
+            ends = np.empty(2 * len(by), np.int64)
+            ends[::2], ends[1::2] = low[by] + 1, high[by] + 1
+            out[by] = np.minimum.reduceat(self.lcp, ends)[::2] + 1
         return out
 
     def repeated(self) -> Iterator[tuple[int, np.ndarray]]:
@@ -217,11 +238,50 @@ def runs_of(flags: np.ndarray) -> list[dict[str, int]]:
     return [{"a": int(a), "b": int(b) - 1} for a, b in zip(edges[::2], edges[1::2])]
 
 
-def repeated_windows(texts: list[bytes]) -> list[list[dict[str, int]]]:
-    """Runs of window starts of every text that repeat in the collection."""
-    flags = [np.zeros(max(0, len(t) - LENGTH + 1), bool) for t in texts]
-    for start, text in Columns(texts).repeated():
-        flags[text][start] = True
+def narrowed(keys: list[int], texts: list[bytes]) -> list[tuple[int, int]]:
+    """Of every segment the first and last window whose longer string around the anchor occurs twice or more.
+
+    The windows of an anchor are cut into ``BANDS`` by the anchor's offset in them. All windows of a band hold
+    a string around the anchor that is longer than it; where no other segment of the anchor has that string,
+    the band's windows repeat nowhere and need no place in the collection. (1, 0) if none is left.
+    """
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes)
+    mine = np.repeat(np.array(keys, np.int64), sizes)[: len(data) - ANCHOR + 1]
+    hits = np.flatnonzero(anchor_hashes(data).view(np.int64) == mine)
+    # The anchor is the leftmost occurrence of its hash.
+    offsets = hits[np.searchsorted(hits, ends - sizes)] - (ends - sizes)
+    edges = [SPAN * i // BANDS for i in range(BANDS + 1)]
+    found: dict[tuple[int, int, bytes], int] = {}
+    held = []
+    for key, text, o in zip(keys, texts, offsets.tolist()):
+        last = len(text) - LENGTH
+        for band, (a, b) in enumerate(zip(edges, edges[1:])):
+            # Windows whose anchor is a to b - 1 bytes behind their start.
+            first, final = max(0, o - b + 1), min(last, o - a)
+            if first <= final:
+                core = (key, band, text[o - a : o + LENGTH - b + 1])
+                found[core] = found.get(core, 0) + 1
+                held.append((core, first, final))
+            else:
+                held.append(None)
+    out = []
+    for i in range(len(texts)):
+        kept = [x for x in held[i * BANDS : (i + 1) * BANDS] if x and found[x[0]] > 1]
+        out.append((min(x[1] for x in kept), max(x[2] for x in kept)) if kept else (1, 0))
+    return out
+
+
+def repeated_windows(keys: list[int], texts: list[bytes]) -> list[list[dict[str, int]]]:
+    """Runs of window starts that repeat among distinct segments with the hashes of their anchors."""
+    if not texts:
+        return []
+    flags = [np.zeros(len(t) - LENGTH + 1, bool) for t in texts]
+    parts = [(i, a, texts[i][a : b + LENGTH]) for i, (a, b) in enumerate(narrowed(keys, texts)) if a <= b]
+    for start, part in Columns([t for _, _, t in parts]).repeated():
+        i, a, _ = parts[part]
+        flags[i][a + start] = True
     return [runs_of(f) for f in flags]
 
 
@@ -237,7 +297,7 @@ def collections(contents: DataFrame) -> DataFrame:
         def done():
             columns = [pa.array(h, pa.int64()), pa.array(d, pa.int64())]
             kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-            return pa.RecordBatch.from_arrays([*columns, pa.array(repeated_windows(texts), kind)], names=["h", "d", "runs"])
+            return pa.RecordBatch.from_arrays([*columns, pa.array(repeated_windows(h, texts), kind)], names=["h", "d", "runs"])
 
         for batch in batches:
             for key, digest, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -280,10 +340,9 @@ def contents_of(kinds: DataFrame, texts: DataFrame) -> DataFrame:
 
 def repeats(texts: DataFrame) -> DataFrame:
     """``places`` (first window and runs of repeated windows) per text key, for texts with key and ``text``."""
-    found = segments(texts)
-    shared = found.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1").select("h")
+    shared = anchors(texts).groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1").select("h")
     # Segments of anchors that occur twice or more; texts that are copies of each other count once, with their number.
-    held = settle(found.join(shared, "h").groupBy("h", "d", "t1", "t2", "at", "n").agg(F.count("*").alias("copies")))
+    held = settle(segments(texts).join(shared, "h").groupBy("h", "d", "t1", "t2", "at", "n").agg(F.count("*").alias("copies")))
     kinds = settle(
         held.groupBy("h", "d", "n").agg(
             F.sum("copies").alias("copies"), F.first("t1").alias("t1"), F.first("t2").alias("t2"), F.first("at").alias("at")
@@ -299,21 +358,25 @@ def repeats(texts: DataFrame) -> DataFrame:
     whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).cast("int").alias("b")))
     runs = kinds.where("copies > 1").select("h", "d", whole.alias("runs")).unionByName(inside.where(F.size("runs") > 0))
     rows = held.select("h", "d", "t1", "t2", "at").join(runs, ["h", "d"])
-    return rows.groupBy("t1", "t2").agg(F.collect_list(F.struct("at", "runs")).alias("places"))
+    places = rows.groupBy("t1", "t2").agg(F.collect_list(F.struct("at", "runs")).alias("places"))
+    ends = F.flatten(F.transform("places", lambda p: F.flatten(F.transform(p["runs"], lambda r: F.array(p["at"] + r["a"], p["at"] + r["b"])))))
+    return places.select("t1", "t2", ends.alias("places"))
+
 
+def cut(data: bytes, places: np.ndarray) -> tuple[bytes, int, int]:
+    """What is left of a text, the bytes removed and the number of maximal runs of them.
 
-def cut(data: bytes, places: list[dict] | None) -> tuple[bytes, int, int]:
-    """What is left of a text, the bytes removed and the number of maximal runs of them."""
-    if not places:
+    ``places`` has the first and the last window of every run of repeated windows.
+    """
+    if not len(places):
         return data, 0, 0
-    edges = np.zeros(len(data) + 1, np.int64)
-    for place in places:
-        for run in place["runs"]:
-            edges[place["at"] + run["a"]] += 1
-            edges[place["at"] + run["b"] + LENGTH] -= 1
-    gone = np.cumsum(edges[:-1]) > 0
-    spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-    return np.frombuffer(data, np.uint8)[~gone].tobytes(), int(gone.sum()), spans
+    first, last = places[::2], places[1::2]
+    by = np.argsort(first)
+    first, until = first[by], np.maximum.accumulate(last[by] + LENGTH)
+    opens = np.r_[True, first[1:] > until[:-1]]
+    a, b = first[opens].tolist(), until[np.r_[opens[1:], True]].tolist()
+    kept = [data[x:y] for x, y in zip([0, *b], [*a, len(data)])]
+    return b"".join(kept), sum(b) - sum(a), len(a)
 
 
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -324,16 +387,17 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     places = repeats(rows.where(F.octet_length("text") >= LENGTH))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                sizes = [len(t.as_buffer()) for t in part.column(1)]
-                done = [cut(t.as_buffer().to_pybytes(), p.as_py()) for t, p in zip(part.column(1), part.column(2))]
+                texts = part.column(1).to_pylist()
+                done = [cut(t, p.values.to_numpy().astype(np.int64) if p.is_valid else none) for t, p in zip(texts, part.column(2))]
                 kept, removed, spans = zip(*done)
-                columns = [part.column(0), pa.array(kept, pa.binary()), pa.array(sizes), pa.array(removed), pa.array(spans)]
+                columns = [part.column(0), pa.array(kept, pa.binary()), pa.array([len(t) for t in texts]), pa.array(removed), pa.array(spans)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    joined = rows.join(places, ["t1", "t2"], "left").select("doc_id", "text", "places")
+    joined = rows.join(places, ["t1", "t2"], "left").select("doc_id", F.col("text").cast("binary").alias("text"), "places")
     return joined.mapInArrow(run, f"doc_id {kind}, kept binary, n_bytes long, n_removed long, n_spans long")
 
 

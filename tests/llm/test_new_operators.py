@@ -207,19 +207,19 @@ def local_repeats(texts):
     groups, places = {}, []
     for data, starts, ends, rows, offsets in suffix_dedup._pieces(column):
         text, window, n, h = suffix_dedup.segments_of(data, starts, ends)
-        for t, w, m, key in zip(text, window, n, h.tolist()):
+        for t, w, m, key in zip(text, window, n, h.view(np.int64).tolist()):
             content = bytes(data[w : w + m + 199])
             groups.setdefault(key, Counter())[content] += 1
             places.append((int(rows[t]), int(w - starts[t] + offsets[t]), key, content))
     runs = {}
     for key, kinds in groups.items():
         distinct = list(kinds)
-        for content, found in zip(distinct, suffix_dedup.repeated_windows(distinct)):
+        for content, found in zip(distinct, suffix_dedup.repeated_windows([key] * len(distinct), distinct)):
             runs[key, content] = found if kinds[content] == 1 else [{"a": 0, "b": len(content) - 200}]
     held = [[] for _ in texts]
     for row, at, key, content in places:
-        held[row].append({"at": at, "runs": runs[key, content]})
-    return [suffix_dedup.cut((t or "").encode(), p)[1] for t, p in zip(texts, held)]
+        held[row].extend(at + r[x] for r in runs[key, content] for x in "ab")
+    return [suffix_dedup.cut((t or "").encode(), np.array(p, np.int64))[1] for t, p in zip(texts, held)]
 
 
 def test_columns_are_the_suffix_order_of_the_collection():
