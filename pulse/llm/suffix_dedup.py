@@ -315,31 +315,43 @@ def collections(contents: DataFrame) -> DataFrame:
 def window_counts(contents: DataFrame) -> DataFrame:
     """The same for anchors with very many segments: every window a row, counted by content."""
     place = F.explode(F.sequence(F.lit(0), F.length("segment") - LENGTH))
-    rows = contents.select("h", "d", "segment", place.alias("a"))
+    rows = contents.dropDuplicates(["h", "d"]).select("h", "d", "segment", place.alias("a"))
     rows = rows.select("h", "d", "a", F.unhex(F.md5(F.substring("segment", F.col("a") + 1, F.lit(LENGTH)))).alias("w"))
     twice = rows.groupBy("h", "w").agg(F.count("*").alias("_n")).where("_n > 1").select("h", "w")
     run = F.array(F.struct(F.col("a").alias("a"), F.col("a").alias("b")))
     return rows.join(twice, ["h", "w"]).select("h", "d", run.alias("runs"))
 
 
-def contents_of(kinds: DataFrame, texts: DataFrame) -> DataFrame:
-    """Bytes of every segment in ``kinds``, cut from one text that holds it."""
+def contents_of(kinds: DataFrame, rows: DataFrame) -> DataFrame:
+    """Bytes of every segment in ``kinds``, cut from one text that holds it.
+
+    The documents are joined as in ``dedup``, with all their columns, so that Spark shuffles them once for both.
+    Copies of a text arrive side by side and are cut once; where Spark splits a large group of copies, a segment can
+    come twice.
+    """
     place = F.struct("h", "d", "kinds", "at", "n")
-    wanted = kinds.groupBy("t1", "t2").agg(F.collect_list(place).alias("places"))
-    once = texts.groupBy("t1", "t2").agg(F.first("text").alias("text"))
-    raw = F.col("text").cast("binary")
-    cut = F.transform(
-        "places",
-        lambda x: F.struct(
-            x["h"].alias("h"), x["d"].alias("d"), x["kinds"].alias("kinds"),
-            F.substring(raw, x["at"] + 1, x["n"] + (LENGTH - 1)).alias("segment"),
-        ),
-    )
-    return once.join(wanted, ["t1", "t2"]).select(F.inline(cut))
-
-
-def repeats(texts: DataFrame) -> DataFrame:
-    """``places`` (first window and runs of repeated windows) per text key, for texts with key and ``text``."""
+    wanted = kinds.groupBy("t1", "t2").agg(F.collect_list(place).alias("wanted"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            for i, key in enumerate(keys):
+                if key == last:
+                    continue
+                last = key
+                text, places = batch.column(2)[i].as_buffer(), batch.column(3)[i].values
+                h, d, many, at, n = (places.field(x) for x in ("h", "d", "kinds", "at", "n"))
+                segment = [text[a : a + m + LENGTH - 1].to_pybytes() for a, m in zip(at.to_pylist(), n.to_pylist())]
+                yield pa.RecordBatch.from_arrays([h, d, many, pa.array(segment, pa.binary())], names=["h", "d", "kinds", "segment"])
+
+    joined = rows.join(wanted, ["t1", "t2"]).select("t1", "t2", "text", "wanted", "doc_id")
+    return joined.mapInArrow(run, "h long, d long, kinds long, segment binary")
+
+
+def repeats(rows: DataFrame) -> DataFrame:
+    """``places`` (first and last window of every run of repeated ones) per text key, for documents with key and ``text``."""
+    texts = rows.where(F.octet_length("text") >= LENGTH)
     shared = anchors(texts).groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1").select("h")
     # Segments of anchors that occur twice or more; texts that are copies of each other count once, with their number.
     held = settle(segments(texts).join(shared, "h").groupBy("h", "d", "t1", "t2", "at", "n").agg(F.count("*").alias("copies")))
@@ -349,7 +361,7 @@ def repeats(texts: DataFrame) -> DataFrame:
         )
     )
     several = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    contents = contents_of(kinds.join(several, "h"), texts)
+    contents = contents_of(kinds.join(several, "h"), rows)
     if kinds.groupBy("h").agg(F.count("*").alias("kinds")).where(F.col("kinds") > HOT).isEmpty():
         inside = collections(contents)
     else:
@@ -384,7 +396,7 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", *text_key(F.col("text")))
-    places = repeats(rows.where(F.octet_length("text") >= LENGTH))
+    places = repeats(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
