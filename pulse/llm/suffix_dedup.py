@@ -117,6 +117,11 @@ def _pieces(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
         row = until
 
 
+def dealt(small: DataFrame) -> DataFrame:
+    """The same rows, dealt anew: a join with them then shuffles both sides and can split the other side's hot keys."""
+    return small.hint("rebalance")
+
+
 def text_key(text: Column) -> list[Column]:
     """Two independent hashes of a text."""
     return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2")]
@@ -319,7 +324,7 @@ def window_counts(contents: DataFrame) -> DataFrame:
     rows = rows.select("h", "d", "a", F.unhex(F.md5(F.substring("segment", F.col("a") + 1, F.lit(LENGTH)))).alias("w"))
     twice = rows.groupBy("h", "w").agg(F.count("*").alias("_n")).where("_n > 1").select("h", "w")
     run = F.array(F.struct(F.col("a").alias("a"), F.col("a").alias("b")))
-    return rows.join(twice, ["h", "w"]).select("h", "d", run.alias("runs"))
+    return rows.join(dealt(twice), ["h", "w"]).select("h", "d", run.alias("runs"))
 
 
 def contents_of(kinds: DataFrame, rows: DataFrame) -> DataFrame:
@@ -354,14 +359,14 @@ def repeats(rows: DataFrame) -> DataFrame:
     texts = rows.where(F.octet_length("text") >= LENGTH)
     shared = anchors(texts).groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1").select("h")
     # Segments of anchors that occur twice or more; texts that are copies of each other count once, with their number.
-    held = settle(segments(texts).join(shared, "h").groupBy("h", "d", "t1", "t2", "at", "n").agg(F.count("*").alias("copies")))
+    held = settle(segments(texts).join(dealt(shared), "h").groupBy("h", "d", "t1", "t2", "at", "n").agg(F.count("*").alias("copies")))
     kinds = settle(
         held.groupBy("h", "d", "n").agg(
             F.sum("copies").alias("copies"), F.first("t1").alias("t1"), F.first("t2").alias("t2"), F.first("at").alias("at")
         )
     )
     several = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    contents = contents_of(kinds.join(several, "h"), rows)
+    contents = contents_of(kinds.join(dealt(several), "h"), rows)
     if kinds.groupBy("h").agg(F.count("*").alias("kinds")).where(F.col("kinds") > HOT).isEmpty():
         inside = collections(contents)
     else:
@@ -409,7 +414,7 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
                 columns = [part.column(0), pa.array(kept, pa.binary()), pa.array([len(t) for t in texts]), pa.array(removed), pa.array(spans)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    joined = rows.join(places, ["t1", "t2"], "left").select("doc_id", F.col("text").cast("binary").alias("text"), "places")
+    joined = rows.join(dealt(places), ["t1", "t2"], "left").select("doc_id", F.col("text").cast("binary").alias("text"), "places")
     return joined.mapInArrow(run, f"doc_id {kind}, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
