@@ -1,18 +1,21 @@
 """Byte-level BPE encoding with tree concatenation for long unsplit text, and decoding.
 
-A text is cut into pieces by the vocabulary's own pattern; every piece is encoded by the tokenizers
-library once and remembered by the worker. A piece longer than ``LEAF`` bytes (a run of letters, signs
+A text is cut where a blank follows something else, which the vocabulary's own pattern always does too, and the
+words so found are cut into pieces by that pattern. Every piece is encoded by the tokenizers library's model once;
+pieces and words are remembered by the worker. A piece longer than ``LEAF`` characters (a run of letters, signs
 or blanks without a cut) is halved down to leaves, the leaves are encoded in parallel, and neighbours
 are joined bottom-up: a window of tokens on both sides of the join is encoded again and grown until its
 first and last token are those of the two sides. Each pair of neighbouring tokens is then one that the
 encoder itself leaves alone, so the joined ids are the ids of the whole.
 
-Null and empty texts have no ids. Repeated rows are encoded alike; other columns are not read.
+Null and empty texts have no ids. Repeated rows are encoded alike; other columns are not read. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,13 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPECIAL = "<|endoftext|>"
-LEAF, WINDOW, REMEMBERED = 2_048, 16, 300_000
+LEAF, WINDOW = 2_048, 16
+#: Pieces and words a worker remembers, and the longest of them.
+REMEMBERED, SHORT = 250_000, 32
 #: The vocabulary's published cutting pattern, with blanks spelled out by property.
 PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 
+#: The characters with the property White_Space.
+BLANKS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WORDS = re.compile(f"[{BLANKS}]*[^{BLANKS}]+|[{BLANKS}]+").findall
+
 
 def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -43,6 +52,19 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
+def remember(known: dict[str, bytes], key: str, value: bytes) -> bytes:
+    """Keep the value of a short key, forgetting all others when there are too many."""
+    if len(key) <= SHORT:
+        if len(known) >= REMEMBERED:
+            known.clear()
+        known[key] = value
+    return value
+
+
 class ByteBpe:
     """Encode to and decode from ids held as little-endian unsigned 32-bit integers."""
 
@@ -53,8 +75,10 @@ class ByteBpe:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.find = regex.compile(PATTERN).findall
-        self.known: dict[str, bytes] = {}
-        letters = byte_letters()
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.model, letters = self.tokenizer.model, byte_letters()
+        self.letter_of = {b: c for c, b in letters.items()}
         vocab = json.loads(self.tokenizer.to_str())["model"]["vocab"]
         self.bytes_of = {i: bytes(letters[c] for c in t) for t, i in vocab.items() if all(c in letters for c in t)}
         self.special = self.tokenizer.token_to_id(SPECIAL)
@@ -64,13 +88,14 @@ class ByteBpe:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.tree(piece) if len(piece) > LEAF else self.ids(piece)
-        found = np.asarray(ids, "<u4").tobytes()
-        if len(piece) <= 64:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[piece] = found
-        return found
+        if len(piece) > LEAF:
+            return packed(self.tree(piece))
+        letters = piece.encode().decode("latin-1").translate(self.letter_of)
+        return remember(self.pieces, piece, packed([t.id for t in self.model.tokenize(letters)]))
+
+    def _word(self, word: str) -> bytes:
+        get = self.pieces.get
+        return remember(self.words, word, b"".join([get(p) or self._piece(p) for p in self.find(word)]))
 
     def tree(self, piece: str) -> list[int]:
         """Ids of a piece that the pattern does not cut, by halves."""
@@ -101,11 +126,11 @@ class ByteBpe:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        get, out = self.known.get, []
+        get, out = self.words.get, []
         for n, part in enumerate(text.split(SPECIAL)):
             if n:
-                out.append(np.asarray([self.special], "<u4").tobytes())
-            out.extend([get(p) or self._piece(p) for p in self.find(part)])
+                out.append(packed([self.special]))
+            out.extend([get(w) or self._word(w) for w in WORDS(part)])
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:

@@ -1,4 +1,8 @@
-"""Exact histogram of encoded lengths with suffix sums for every context limit."""
+"""Exact histogram of encoded lengths with suffix sums for every context limit.
+
+Null and empty texts have 0 tokens, repeated rows count each, very long texts are encoded whole; only the text is
+read. An empty table gives an empty histogram, and 0 or null answers.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulse.llm.byte_bpe import codec, default_path
+from pulse.session import settle
 
 # Lengths are cut into blocks of this many, so that no window holds more rows.
 BLOCK = 1_024
@@ -36,7 +41,8 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     go over blocks of lengths, then inside a block; each window is bounded by ``BLOCK``
     rows for lengths below ``BLOCK`` cubed.
     """
-    counts = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    # One row per length is kept, so that the texts are encoded once.
+    counts = settle(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")))
     counts = counts.withColumns(
         {
             "tokens": F.col("n_tokens") * F.col("n_docs"),
@@ -83,3 +89,30 @@ def with_totals(histogram: DataFrame) -> DataFrame:
             "truncated_total": F.lit(tokens) - F.col("tokens_longer") + F.col("n_tokens") * F.col("docs_longer"),
         }
     )
+
+
+def at_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
+    """Per context limit, whether a stored length or not: documents that fit, and tokens left when all are cut to it.
+
+    No limits or no documents give no rows.
+    """
+    n = F.col("n_tokens")
+    asked = F.array(*(F.lit(x) for x in sorted(set(limits)))).cast("array<long>")
+    each = histogram.withColumn("limit", F.explode(asked))
+    fits, more = n <= F.col("limit"), F.lit(0).cast("long")
+    return each.groupBy("limit").agg(
+        F.sum(F.when(fits, F.col("n_docs")).otherwise(more)).alias("docs_upto"),
+        F.sum(F.col("n_docs") * F.least(n, F.col("limit"))).alias("truncated_total"),
+        F.sum(F.when(fits, more).otherwise(F.col("n_docs"))).alias("docs_longer"),
+    )
+
+
+def quantiles(histogram: DataFrame, shares: list[float]) -> DataFrame:
+    """The smallest length that at least each share of the documents does not exceed, by the suffix sums."""
+    total = F.col("n_docs") + F.col("docs_longer")
+    docs = histogram.agg(F.max(total).alias("docs")).first()["docs"]
+    if not docs or not shares:
+        return histogram.select(F.lit(None).cast("double").alias("share"), F.col("n_tokens")).limit(0)
+    each = histogram.withColumn("share", F.explode(F.array(*(F.lit(float(x)) for x in sorted(set(shares))))))
+    reached = F.lit(docs) - F.col("docs_longer") >= F.ceil(F.col("share") * docs)
+    return each.where(reached).groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
