@@ -2,7 +2,8 @@
 
 Every column is an expression over one row, so nothing is shuffled. A null text has no words and fails
 the base rules, an empty one too. Repeated rows are judged alike; other columns pass through untouched
-unless they have the name of a result column, which is then replaced.
+unless they have the name of a result column, which is then replaced. An empty table gives no rows; the time for a
+text grows in proportion to its length (and its logarithm).
 """
 
 from __future__ import annotations
@@ -71,27 +72,45 @@ def line_fails(line: Column) -> Column:
     )
 
 
+RESULTS = [
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "clean_text", "base_failed", "lost_chars", "kept"
+]
+
+
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add counts, ``base_failed``, ``clean_text`` (the lines kept), ``lost_chars`` and ``kept``."""
+    """Add counts, ``base_failed``, ``clean_text`` (the lines kept), ``lost_chars`` and ``kept``.
+
+    All results of a text are one struct that a generator unpacks. A filter on them cannot move below the
+    generator, where it would cut the text into words again for every window.
+    """
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    with_words = docs.withColumns(
-        {"_words": F.regexp_extract_all(whole, F.lit(WORD), F.lit(0)), "_lines": lines}
-    )
-    good = F.filter(F.col("_lines"), lambda x: ~line_fails(x))
-    base = with_words.withColumns(
-        {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-            "n_symbols": F.regexp_count(whole, F.lit(SYMBOL)).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": repeated_words(F.col("_words")),
-            "clean_text": F.array_join(good, "\n"),
-        }
-    ).drop("_words", "_lines")
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    left = F.length(F.regexp_replace("clean_text", r"[\x20\x09-\x0D]+", "")).cast("long")
-    judged = base.withColumns({"base_failed": failed, "lost_chars": F.col("word_chars") - left})
-    return judged.withColumn(
-        "kept", ~F.col("base_failed") & (F.col("lost_chars") <= LOST_SHARE * F.col("word_chars"))
-    )
+    parts = F.struct(F.regexp_extract_all(whole, F.lit(WORD), F.lit(0)).alias("words"), lines.alias("lines"))
+
+    def counted(x: Column) -> Column:
+        words, lines = x["words"], x["lines"]
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+            F.regexp_count(whole, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+            repeated_words(words).alias("n_repeat_words"),
+            F.array_join(F.filter(lines, lambda line: ~line_fails(line)), "\n").alias("clean_text"),
+        )
+
+    def decided(x: Column) -> Column:
+        failed = (x["n_words"] < 20) | (100 * x["n_repeat_words"] > 30 * x["n_words"])
+        left = F.length(F.regexp_replace(x["clean_text"], r"[\x20\x09-\x0D]+", "")).cast("long")
+        return let(
+            F.struct(failed.alias("failed"), (x["word_chars"] - left).alias("lost")),
+            lambda y: F.struct(
+                *(x[c].alias(c) for c in RESULTS[:6]),
+                y["failed"].alias("base_failed"),
+                y["lost"].alias("lost_chars"),
+                (~y["failed"] & (y["lost"] <= LOST_SHARE * x["word_chars"])).alias("kept"),
+            ),
+        )
+
+    result = let(let(parts, counted), decided)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in RESULTS]
+    return docs.select(*others, F.inline(F.array(result)))
