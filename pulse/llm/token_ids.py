@@ -1,12 +1,15 @@
 """Token-id shards with a minimal perfect hash index for keyed access.
 
-Shards are raw little-endian unsigned 32-bit ids of documents in ascending id order. Every shard has an
-index built by displacement: keys are dealt to small buckets, and per bucket the smallest seed is stored
-that sends its keys to free slots, so that n keys fill exactly n slots. A slot holds the key's
-fingerprint and the place of its ids; a lookup is one bucket, one slot, one comparison and one read.
-
-Null and empty texts hold the end id only. Ids of documents must be unique and not null: the index has
-one slot per key, and building it raises on a repeated key. An empty table writes no shards.
+Shards hold raw little-endian unsigned 32-bit ids of documents in ascending id order and are bounded by bytes.
+Every shard has an index built by displacement: keys are dealt to small buckets, and per bucket the smallest seed is
+stored that sends its keys to free slots, so that n keys fill exactly n slots. A slot holds the key's
+fingerprint and the place of its ids; a lookup is one bucket, one slot, one comparison and one read. A shard also
+states its first and last key, so a reader opens only the shards that can hold a key.
+
+Null and empty texts hold the end id only. Ids of documents may have any type that sorts; rows without one come
+last. Rows that repeat an id are all stored, in order of a hash of their texts; a key is an id with the number of
+its occurrence in the shard, and a read by id gives every occurrence. An empty table writes no shards. A read takes
+one absent id in four billion for a present one, as fingerprints have 32 bits.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,19 +28,31 @@ from pulse.llm import byte_bpe
 from pulse.session import scratch_path, settle
 
 END, BUCKET = 2, 4
-NAMES = ["part", "number", "first", "total", "keys", "seeds", "slots", "ids"]
-FILE = "part int, number int, first long, total long, keys binary, seeds binary, slots binary, ids binary"
+#: A shard is closed when its ids take this many bytes; a longer document has a shard of its own.
+SHARD_BYTES = 1 << 20
 SLOT = np.dtype([("print", "<u4"), ("start", "<u8"), ("count", "<u4")])
+Key = tuple[object, int]
+
+
+def _hash(key: Key, seed: int) -> int:
+    value, number = key
+    return xxhash.xxh64_intdigest(f"{number} {type(value).__name__} {value}".encode(), seed)
 
 
-def _hash(key: int, seed: int) -> int:
-    return xxhash.xxh64_intdigest(int(key).to_bytes(8, "little", signed=True), seed)
+def numbered(values: list) -> list[Key]:
+    """Every value, in sorted order, with the number of its occurrence."""
+    out: list[Key] = []
+    for value in values:
+        last, number = out[-1] if out else (object(), 0)
+        same = last == value or (last != last and value != value)  # two not-a-numbers
+        out.append((value, number + 1 if same else 0))
+    return out
 
 
-def build(keys: list[int]) -> tuple[np.ndarray, list[int]]:
-    """Seeds per bucket, and the slot of every key."""
+def build(keys: list[Key]) -> tuple[np.ndarray, list[int]]:
+    """Seeds per bucket, and the slot of every key; keys must differ."""
     if len(set(keys)) < len(keys):
-        raise ValueError("document ids repeat")
+        raise ValueError("keys repeat")
     n, m = len(keys), max(1, -(-len(keys) // BUCKET))
     buckets: list[list[int]] = [[] for _ in range(m)]
     for at, key in enumerate(keys):
@@ -55,7 +71,7 @@ def build(keys: list[int]) -> tuple[np.ndarray, list[int]]:
     return seeds, slots
 
 
-def lookup(key: int, seeds: np.ndarray, slots: np.ndarray) -> tuple[int, int] | None:
+def lookup(key: Key, seeds: np.ndarray, slots: np.ndarray) -> tuple[int, int] | None:
     """Start and count of the key's ids in its shard, or None."""
     if not len(slots):
         return None
@@ -63,79 +79,133 @@ def lookup(key: int, seeds: np.ndarray, slots: np.ndarray) -> tuple[int, int] |
     return (int(slot["start"]), int(slot["count"])) if slot["print"] == _hash(key, 1 << 40) & 0xFFFFFFFF else None
 
 
-def write(docs: DataFrame, folder: str, text: str = "text", doc_id: str = "doc_id", block: int = 2_000) -> DataFrame:
-    """Write shards of at most ``block`` documents below ``folder``; return one row per shard.
+def _file(kind: str) -> str:
+    return f"part int, number int, first {kind}, last {kind}, total long, keys array<{kind}>, seeds binary, slots binary, ids binary"
+
+
+def write(docs: DataFrame, folder: str, text: str = "text", doc_id: str = "doc_id", path: str | None = None) -> DataFrame:
+    """Write shards below ``folder`` and return them, one row each.
 
     A shard is one row of a Parquet file (index and raw ids), so that Spark's writer commits it whole and a
-    lost task leaves nothing behind.
+    lost task leaves nothing behind. Texts are encoded and packed in one pass over the sorted documents.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     columns = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    dealt = columns.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    ids = byte_bpe.encoded(dealt, decode=False).select("doc_id", "ids", F.spark_partition_id().alias("part"))
-    end = np.asarray([END], "<u4").tobytes()
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
+    dealt = columns.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    kind, name = columns.schema["doc_id"].dataType.simpleString(), path or byte_bpe.default_path()
+    end = byte_bpe.packed([END])
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, payload, part, number = [], [], 0, 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, part = byte_bpe.codec(name).encode, TaskContext.get().partitionId()
+        values, payload, size, number = [], [], 0, 0
 
-        def shard():
+        def shard(kinds: pa.DataType):
+            keys = numbered(values)
             seeds, places = build(keys)
             slots, start = np.zeros(len(keys), SLOT), 0
             for key, place, raw in zip(keys, places, payload):
                 slots[place] = (_hash(key, 1 << 40) & 0xFFFFFFFF, start, len(raw) // 4)
                 start += len(raw) // 4
-            values = [[part], [number], [keys[0]], [start], [np.asarray(keys, "<i8").tobytes()], [seeds.tobytes()], [slots.tobytes()], [b"".join(payload)]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=NAMES)
+            row = {"part": [part], "number": [number], "first": values[:1], "last": values[-1:], "total": [start], "keys": [values]}
+            row |= {"seeds": [seeds.tobytes()], "slots": [slots.tobytes()], "ids": [b"".join(payload)]}
+            types = [pa.int32(), pa.int32(), kinds, kinds, pa.int64(), pa.list_(kinds), *[pa.binary()] * 3]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), types)], names=list(row))
 
+        kinds = None
+        for batch in batches:
+            kinds = batch.column(0).type
+            for at in range(0, batch.num_rows, 256):
+                rows = batch.slice(at, 256)
+                for value, whole in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+                    raw = encode(whole) + end
+                    if values and size + len(raw) > SHARD_BYTES:
+                        yield shard(kinds)
+                        values, payload, size, number = [], [], 0, number + 1
+                    values.append(value), payload.append(raw)
+                    size += len(raw)
+        if values:
+            yield shard(kinds)
+
+    dealt.mapInArrow(run, _file(kind)).write.parquet(folder)
+    return spark.read.schema(_file(kind)).parquet(folder)
+
+
+def _rows(shards: DataFrame, wanted: list | None) -> DataFrame:
+    """Documents of the shards, each found through its shard's index; only those of ``wanted`` ids if given."""
+    kind = shards.schema["first"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, raw, p in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if key is None:
-                    raise ValueError("document ids must not be null")
-                keys.append(key), payload.append(raw + end)
-                part = p
-                if len(keys) == block:
-                    yield shard()
-                    keys, payload, number = [], [], number + 1
-        if keys:
-            yield shard()
+            for i in range(batch.num_rows):
+                part, number, keys, seeds, slots, ids = (batch.column(c)[i] for c in range(6))
+                seeds, slots = np.frombuffer(seeds.as_buffer(), "<u4"), np.frombuffer(slots.as_buffer(), SLOT)
+                raw, kinds = memoryview(ids.as_buffer()), batch.column(2).type.value_type
+                if wanted is None:
+                    asked = numbered(keys.as_py())
+                else:
+                    asked = [(w, k) for w in wanted for k in range(_occurrences(w, seeds, slots))]
+                found = [lookup(k, seeds, slots) for k in asked]
+                sums = [zlib.crc32(raw[4 * s : 4 * (s + c)]) for s, c in found]
+                n = len(asked)
+                columns = [pa.array([v for v, _ in asked], kinds), pa.array([part.as_py()] * n, pa.int32()), pa.array([number.as_py()] * n, pa.int32())]
+                columns += [pa.array([f[x] for f in found], pa.int64()) for x in (0, 1)]
+                columns.append(pa.array(sums, pa.int64()))
+                if wanted is not None:
+                    columns.append(pa.array([bytes(raw[4 * s : 4 * (s + c)]) for s, c in found], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=NAMES[: len(columns)])
 
-    ids.mapInArrow(pack, FILE).write.parquet(folder)
-    return spark.read.schema(FILE).parquet(folder)
+    schema = f"doc_id {kind}, part int, number int, local long, n_tokens long, ids_crc32 long"
+    schema += ", ids binary" if wanted is not None else ""
+    return shards.select("part", "number", "keys", "seeds", "slots", "ids").mapInArrow(run, schema)
 
 
-def read(shards: DataFrame) -> DataFrame:
-    """One row per document of the shards: id, start over all shards, number and checksum of its ids."""
-    # One row per shard, a few thousandths of the documents: parts first, then the shards of a part.
-    sizes = settle(shards.select("part", "number", "first", "total"))
-    parts = sizes.groupBy("part").agg(F.min("first").alias("first"), F.sum("total").alias("total"))
-    before = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+NAMES = ["doc_id", "part", "number", "local", "n_tokens", "ids_crc32", "ids"]
+
+
+def _occurrences(value: object, seeds: np.ndarray, slots: np.ndarray) -> int:
+    """Rows of an id in a shard, by asking for one occurrence after the other."""
+    k = 0
+    while lookup((value, k), seeds, slots) is not None:
+        k += 1
+    return k
+
+
+def starts(shards: DataFrame) -> DataFrame:
+    """Ids before every shard: one row per shard, a few thousandths of the documents."""
+    sizes = settle(shards.select("part", "number", "total"))
+    # Parts follow the order of the ids, shards of a part as well.
+    parts = sizes.groupBy("part").agg(F.sum("total").alias("total"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("_part"))
     inside = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("part", "number", F.coalesce(F.sum("total").over(inside), F.lit(0)).alias("_inside"))
-    starts = starts.join(parts, "part").select("part", "number", (F.col("_part") + F.col("_inside")).alias("base"))
+    rows = sizes.select("part", "number", F.coalesce(F.sum("total").over(inside), F.lit(0)).alias("_inside"))
+    return rows.join(parts, "part").select("part", "number", (F.col("_part") + F.col("_inside")).alias("base"))
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys, slots = np.frombuffer(row["keys"], "<i8").tolist(), np.frombuffer(row["slots"], SLOT)
-                seeds, raw = np.frombuffer(row["seeds"], "<u4"), row["ids"]
-                found = [lookup(k, seeds, slots) for k in keys]
-                sums = [zlib.crc32(raw[4 * s : 4 * (s + c)]) for s, c in found]
-                n = len(keys)
-                values = [keys, [row["part"]] * n, [row["number"]] * n, [s for s, _ in found], [c for _, c in found], sums]
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=["doc_id", "part", "number", "local", "n_tokens", "ids_crc32"])
 
-    rows = shards.select("part", "number", "keys", "seeds", "slots", "ids").mapInArrow(
-        each, "doc_id long, part int, number int, local long, n_tokens long, ids_crc32 long"
-    )
-    return rows.join(starts, ["part", "number"]).select(
+def read(shards: DataFrame) -> DataFrame:
+    """One row per document of the shards: id, start over all shards, number and checksum of its ids."""
+    return _rows(shards, None).join(starts(shards), ["part", "number"]).select(
         "doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32"
     )
 
 
+def fetch(shards: DataFrame, keys: list) -> DataFrame:
+    """Ids of the documents with the given ids, a list the caller bounds; absent ones have no row.
+
+    Only shards whose first and last key enclose one of them are read (the bounds are statistics of the Parquet
+    files, so payloads of other shards stay unread), each through its index. Rows without an id are asked for by None.
+    """
+    kind = shards.schema["first"].dataType
+    asked = [F.lit(k).cast(kind) for k in keys if k is not None]
+    held = F.col("last").isNull() if None in keys else F.lit(False)
+    for k in asked:
+        # Rows without an id come last, so a shard may end with them.
+        held = held | ((F.col("first") <= k) & ((F.col("last") >= k) | F.col("last").isNull()))
+    return _rows(shards.where(held), list(dict.fromkeys(keys))).select("doc_id", "n_tokens", "ids_crc32", "ids")
+
+
 def round_trip(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Write all documents below the shared folder and read them back through the index."""
     return read(write(docs, scratch_path(docs.sparkSession, "token-ids"), text, doc_id))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import zlib
@@ -11,6 +12,7 @@ import numpy as np
 import oracle
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -185,11 +187,65 @@ def test_token_ids_against_brute_force(spark):
 
 
 def test_hash_index_is_minimal_and_perfect():
-    keys = random.Random(2).sample(range(-(10**12), 10**12), 3_000)
+    keys = token_ids.numbered(sorted(random.Random(2).sample(range(-(10**12), 10**12), 3_000)) + ["a", "a", None, None])
     seeds, slots = token_ids.build(keys)
-    assert sorted(slots) == list(range(3_000))
+    assert sorted(slots) == list(range(3_004))
     with pytest.raises(ValueError):
-        token_ids.build([1, 1])
+        token_ids.build([(1, 0), (1, 0)])
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "date"])
+def test_token_ids_of_any_key(spark, tmp_path, monkeypatch, kind):
+    """Null, repeated and text ids in several shards: ascending order, and keyed reads across the shards."""
+    import datetime
+
+    monkeypatch.setattr(token_ids, "SHARD_BYTES", 300)
+    make = {"long": lambda i: i - 20, "string": lambda i: f"k{i:03}", "date": lambda i: datetime.date(2020, 1, 1 + i % 28)}[kind]
+    ids = [make(i) for i in range(60)] + [None, None, make(7), make(7)]
+    texts = [" ".join(["word"] * (i % 37)) for i in range(60)] + [None, "x y z", "a b", "a b"]
+    docs = spark.createDataFrame(list(zip(ids, texts, ["p"] * 64)), f"doc_id {kind}, text string, part string").repartition(5)
+    shards = token_ids.write(docs, str(tmp_path / "shards"))
+    _, want = brute_ids(texts)
+    got = sorted(token_ids.read(shards).collect(), key=lambda r: r.start)
+    keys = [r.doc_id for r in got]
+    assert [k for k in keys if k is not None] == sorted(i for i in ids if i is not None) and keys[-2:] == [None, None]
+    assert [r.start for r in got] == list(np.cumsum([0] + [r.n_tokens for r in got])[:-1])
+    assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter((i, len(w) + 1) for i, w in zip(ids, want))
+    asked = [make(7), make(11), None]
+    found = token_ids.fetch(shards, [*asked, make(7), {"long": 999, "string": "zz", "date": datetime.date(1999, 1, 1)}[kind]]).collect()
+    plain = Counter((i, np.asarray([*w, 2], "<u4").tobytes()) for i, w in zip(ids, want) if i in asked)
+    assert Counter((r.doc_id, bytes(r.ids)) for r in found) == plain
+
+
+def test_token_ids_run_one_python_worker_per_task(spark, data, tmp_path):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    shards = token_ids.write(docs, str(tmp_path / "shards"))
+    plan = token_ids.read(shards)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_encoded_digests_against_brute_force(spark):
+    encode, want = brute_ids(ODD)
+    got = {r.doc_id: r for r in byte_bpe.digests(frame(spark, ODD + [ODD[5]])).collect()}
+    for i, ids in enumerate([*want, want[5]]):
+        decoded = encode.decode(ids, skip_special_tokens=False)
+        assert got[i].n_tokens == len(ids) and got[i].ids_sha256 == hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
+    assert byte_bpe.digests(frame(spark, [])).count() == 0
+
+
+def test_quality_filter_cuts_each_text_once(spark):
+    """A filter on the verdict stays above the rules, so a long text takes time in proportion."""
+    import time
+
+    long = " ".join(f"w{i}" for i in range(20_000))
+    docs = frame(spark, [long + ".", None, "short"]).withColumn("_words", F.lit("mine")).withColumn("kept", F.lit("old"))
+    judged = quality_rules.judge(docs).where("kept")
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(quality_rules.WORD) == 1
+    begin = time.time()
+    assert [(r.doc_id, r._words) for r in judged.collect()] == [(0, "mine")]
+    assert time.time() - begin < 20
 
 
 def test_signatures_are_unbiased():
