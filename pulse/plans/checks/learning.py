@@ -354,16 +354,9 @@ def ingest_scans(spark, folder):
 FROM snaps GROUP BY 1, 2""",
 )
 def daily_theme_totals(spark, folder):
-    schema = a.table(spark, folder, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    rows = stream.select(
-        F.col("ts").alias("published"),
-        F.col("event_type").alias("theme"),
-        F.round(F.col("value") * 100).cast("long").alias("facebook_interactions"),
-    )
     path, progress = scratch_path(spark, "totals"), scratch_path(spark, "progress")
     query = (
-        ingest.daily_theme_totals(rows, None)
+        ingest.daily_theme_totals(_event_stream(spark, folder), None)
         .writeStream.outputMode("complete")
         .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path) and None)
         .option("checkpointLocation", progress)
@@ -372,3 +365,27 @@ def daily_theme_totals(spark, folder):
     )
     query.awaitTermination()
     return spark.read.parquet(path)
+
+
+def _event_stream(spark, folder):
+    """Events as they would arrive, whether the table is one file or a folder of files."""
+    # A pattern, as a plain path must be a folder.
+    stream = spark.readStream.schema(a.table(spark, folder, "events").schema).parquet(f"{folder}/events.parque[t]")
+    return stream.select(
+        F.col("ts").alias("published"),
+        F.col("event_type").alias("theme"),
+        F.round(F.col("value") * 100).cast("long").alias("facebook_interactions"),
+    )
+
+
+@check(
+    "z02_closed_days",
+    a.using(a.SNAPS)
+    + """SELECT date AS day, theme, CAST(sum(facebook_interactions) AS BIGINT) AS facebook_interactions, count(*) AS "count"
+FROM snaps WHERE date + INTERVAL 1 DAY <= (SELECT max(published) - INTERVAL 1 DAY FROM snaps) GROUP BY 1, 2""",
+)
+def closed_days(spark, folder):
+    """Days that ended at least one day before the newest row, each written once by the stream."""
+    path, progress = scratch_path(spark, "closed"), scratch_path(spark, "progress")
+    ingest.append_closed_days(_event_stream(spark, folder), path, progress).awaitTermination()
+    return spark.read.parquet(path)

@@ -9,8 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pulse import schemas
 from pulse.operators.mutate import upsert_new_scans, upsert_scan
-from pulse.sources.files import read_scan_sources, read_table
-from pulse.sources.sinks import write_parquet
+from pulse.sources.files import read_scan_sources
+from pulse.sources.store import Store
 
 _FILE_LISTING = T.StructType(
     [
@@ -23,13 +23,14 @@ _FILE_LISTING = T.StructType(
 
 
 def ingest_scans(
-    spark: SparkSession, landing: str, store: str, progress: str, files_per_batch: int = 100
+    spark: SparkSession, landing: str, store: str, progress: str, files_per_batch: int = 100, buckets: int = 64
 ) -> StreamingQuery:
     """Load every scan file that arrived in ``landing`` since the last run.
 
-    The stream carries file paths only, so each file is read by header name like
-    any other scan. Batch ``n`` reads the table of batch ``n - 1`` and writes its
-    own folder; running a batch again gives the same folder.
+    The stream carries file names only, so each file is read by header name like any other scan. A batch
+    rewrites the buckets of the stored table that its keys fall into. What was loaded is part of the table's
+    version: a batch that runs again, or a new progress folder, finds its files there and changes nothing, and a
+    file that came again with other content replaces its rows.
     """
     arrivals = (
         spark.readStream.format("binaryFile")
@@ -37,15 +38,11 @@ def ingest_scans(
         .option("pathGlobFilter", "*.csv")
         .option("maxFilesPerTrigger", files_per_batch)
         .load(landing)
-        .select("path")
+        .select("path", F.col("modificationTime").alias("modified"), "length")
     )
 
     def load(batch: DataFrame, number: int) -> None:
-        # At most ``files_per_batch`` names.
-        paths = sorted(row["path"] for row in batch.collect())
-        session = batch.sparkSession
-        before = read_table(session, _folder(store, number - 1), schemas.NEWS_DATA)
-        write_parquet(_apply(session, before, paths), _folder(store, number))
+        load_files(Store(batch.sparkSession, store, schemas.NEWS_DATA, "facebook_link", buckets), batch)
 
     return (
         arrivals.writeStream.foreachBatch(load)
@@ -55,35 +52,35 @@ def ingest_scans(
     )
 
 
-def stored_table(spark: SparkSession, store: str) -> DataFrame:
-    """Table of the last complete batch."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/batch=*/_SUCCESS")
-    done = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
-    folders = sorted(status.getPath().getParent().toString() for status in done)
-    if not folders:
-        return spark.createDataFrame([], schemas.NEWS_DATA)
-    return read_table(spark, folders[-1], schemas.NEWS_DATA)
-
-
-def _apply(spark: SparkSession, before: DataFrame, paths: list[str]) -> DataFrame:
-    scans = read_scan_sources(spark, paths)
-    names = {row["source"] for row in before.select("source").distinct().join(
-        scans.select("source").distinct(), "source", "left_semi").collect()}
-    new = [p for p in paths if _name(p) not in names]
-    table = upsert_new_scans(before, read_scan_sources(spark, new)) if new else before
-    # A file that was loaded before first loses its old rows, so these go one by one.
-    for path in paths:
-        if _name(path) in names:
-            table = upsert_scan(table, read_scan_sources(spark, [path]).drop("source"), _name(path))
-    return table
-
+def load_files(table: Store, files: DataFrame) -> Store:
+    """Load the files listed in ``path``, ``modified`` and ``length`` that the store does not hold yet."""
+    named = files.withColumn("file", F.element_at(F.split("path", "/"), -1))
+    fresh = named.join(table.files(), ["file", "modified", "length"], "left_anti")
+    earlier = table.files().select("file").distinct().withColumn("again", F.lit(True))
+    # At most ``files_per_batch`` names.
+    listed = fresh.join(earlier, "file", "left").select("path", "file", "modified", "length", "again").collect()
+    if not listed:
+        return table
+    new = sorted(r["path"] for r in listed if not r["again"])
+    again = {r["file"]: r["path"] for r in listed if r["again"]}
+    spark = table.spark
+    scans = read_scan_sources(spark, sorted(r["path"] for r in listed))
+    changed = set(table.touched(scans))
+    if again:
+        # Rows of an earlier load can lie in other buckets.
+        changed |= set(table.touched(table.read().where(F.col("source").isin(*again))))
+    rows = table.read(sorted(changed))
+    if new:
+        rows = upsert_new_scans(rows, read_scan_sources(spark, new))
+    for name in sorted(again):
+        rows = upsert_scan(rows, read_scan_sources(spark, [again[name]]).drop("source"), name)
+    loaded = spark.createDataFrame([(r["file"], r["modified"], r["length"]) for r in listed], "file string, modified timestamp, length long")
+    return table.commit(rows, sorted(changed), loaded)
 
-def _name(path: str) -> str:
-    return path.rsplit("/", 1)[-1]
 
-
-def _folder(store: str, number: int) -> str:
-    return f"{store}/batch={number:012d}"
+def stored_table(spark: SparkSession, store: str) -> DataFrame:
+    """Table of the last complete version."""
+    return Store(spark, store, schemas.NEWS_DATA, "facebook_link").read()
 
 
 def daily_theme_totals(stream: DataFrame, lateness: str | None = "1 day") -> DataFrame:
@@ -99,3 +96,18 @@ def daily_theme_totals(stream: DataFrame, lateness: str | None = "1 day") -> Dat
         F.sum("facebook_interactions").alias("facebook_interactions"), F.count("*").alias("count")
     )
     return days.select(F.to_date("window.start").alias("day"), "theme", "facebook_interactions", "count")
+
+
+def append_closed_days(stream: DataFrame, path: str, progress: str, lateness: str = "1 day") -> StreamingQuery:
+    """Write the totals of every day once, when ``lateness`` has passed since its end; later rows of it are left out.
+
+    The state holds open days only, so it is bounded by themes times open days, whatever the length of the stream.
+    """
+    return (
+        daily_theme_totals(stream, lateness)
+        .writeStream.outputMode("append")
+        .format("parquet")
+        .option("checkpointLocation", progress)
+        .trigger(availableNow=True)
+        .start(path)
+    )

@@ -6,12 +6,13 @@ import datetime as dt
 import shutil
 
 import pytest
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import functions as F
 
 from pulse import schemas
 from pulse.plans.checks import adapters
 from pulse.sources import files, sinks, sql
+from pulse.sources.store import Store
 from pulse.streaming import ingest
 
 HEADER = "Domain,Published,Headline,Summary,Link,Link URL,Facebook Page Name,Total Interactions"
@@ -110,45 +111,92 @@ def stored(spark, store):
     return {(r["facebook_link"], r["facebook_interactions"], r["source"]) for r in rows}
 
 
+def line(key, count):
+    return f"x.com,2024-01-01 00:00:00,h,s,fb{key},l{key},page,{count}"
+
+
+def ingested(spark, tmp_path, progress="progress", **more):
+    landing, store = tmp_path / "landing", tmp_path / "store"
+    ingest.ingest_scans(spark, str(landing), str(store), str(tmp_path / progress), buckets=8, **more).awaitTermination()
+    return stored(spark, str(store))
+
+
+def bucket_files(store):
+    return {p.relative_to(store): p.stat().st_mtime_ns for p in store.rglob("version=*/bucket=*/*.parquet") if "manifest" not in p.parts}
+
+
 def test_files_arrive_over_time(spark, tmp_path):
-    landing, store, progress = (tmp_path / n for n in ("landing", "store", "progress"))
+    landing, store = tmp_path / "landing", tmp_path / "store"
     landing.mkdir()
-
-    def row(key, count):
-        return f"x.com,2024-01-01 00:00:00,h,s,fb{key},l{key},page,{count}"
-
-    def run():
-        ingest.ingest_scans(spark, str(landing), str(store), str(progress)).awaitTermination()
-        return stored(spark, str(store))
-
-    scan(landing / "a.csv", row(1, 5), row(2, 5))
-    assert run() == {("fb1", 5, "a.csv"), ("fb2", 5, "a.csv")}
-    assert run() == {("fb1", 5, "a.csv"), ("fb2", 5, "a.csv")}
-    scan(landing / "b.csv", row(1, 4), row(2, 6))
-    scan(landing / "c.csv", row(3, 1))
-    assert run() == {("fb1", 5, "a.csv"), ("fb2", 6, "b.csv"), ("fb3", 1, "c.csv")}
-    # A batch that runs again gives the same table.
-    batch = sorted(store.glob("batch=*"))[-1]
-    before = stored(spark, str(store))
-    table = ingest._apply(
-        spark,
-        files.read_table(spark, str(sorted(store.glob("batch=*"))[-2]), schemas.NEWS_DATA),
-        [f"file:{landing}/b.csv", f"file:{landing}/c.csv"],
-    )
-    sinks.write_parquet(table, str(batch))
-    assert stored(spark, str(store)) == before
+    scan(landing / "a.csv", line(1, 5), line(2, 5))
+    assert ingested(spark, tmp_path) == {("fb1", 5, "a.csv"), ("fb2", 5, "a.csv")}
+    assert ingested(spark, tmp_path) == {("fb1", 5, "a.csv"), ("fb2", 5, "a.csv")}
+    scan(landing / "b.csv", line(1, 4), line(2, 6))
+    scan(landing / "c.csv", line(3, 1))
+    want = {("fb1", 5, "a.csv"), ("fb2", 6, "b.csv"), ("fb3", 1, "c.csv")}
+    assert ingested(spark, tmp_path) == want
+    # A new progress folder lists all files again; the store knows them.
+    before = bucket_files(store)
+    assert ingested(spark, tmp_path, "other progress") == want and bucket_files(store) == before
+    # So does a batch that runs again.
+    table = Store(spark, str(store), schemas.NEWS_DATA, "facebook_link")
+    files_there = [(f"file:{p}", dt.datetime.fromtimestamp(p.stat().st_mtime_ns // 10**6 / 1000, dt.UTC), p.stat().st_size) for p in sorted(landing.iterdir())]
+    listing = spark.createDataFrame(files_there, "path string, modified timestamp, length long")
+    assert ingest.load_files(table, listing.where("path not like '%c.csv'")).version == table.version
 
 
 def test_a_file_loaded_again_replaces_its_rows(spark, tmp_path):
-    def row(key, count):
-        return f"x.com,2024-01-01 00:00:00,h,s,fb{key},l{key},page,{count}"
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    scan(landing / "a.csv", line(1, 5), line(2, 5))
+    scan(landing / "b.csv", line(7, 1))
+    ingested(spark, tmp_path)
+    scan(landing / "a.csv", line(1, 2), line(3, 22))
+    assert ingested(spark, tmp_path, "fresh") == {("fb1", 2, "a.csv"), ("fb3", 22, "a.csv"), ("fb7", 1, "b.csv")}
+
+
+def test_untouched_buckets_are_neither_read_nor_written(spark, tmp_path):
+    landing, store = tmp_path / "landing", tmp_path / "store"
+    landing.mkdir()
+    scan(landing / "a.csv", *(line(k, 5) for k in range(60)))
+    ingested(spark, tmp_path)
+    before = bucket_files(store)
+    table = Store(spark, str(store), schemas.NEWS_DATA, "facebook_link")
+    assert table.buckets == 8 and len(table.held_by) == 8
+    scan(landing / "b.csv", line(3, 9))
+    assert ("fb3", 9, "b.csv") in ingested(spark, tmp_path)
+    later = Store(spark, str(store), schemas.NEWS_DATA, "facebook_link")
+    changed = table.touched(spark.createDataFrame([("fb3",)], "facebook_link string"))
+    assert len(changed) == 1 and {b for b in range(8) if later.held_by[b] != table.held_by[b]} == set(changed)
+    assert all(f"/bucket={changed[0]}/" in f for f in table.read(changed).inputFiles())
+    assert {f: t for f, t in bucket_files(store).items() if f in before} == before
+    assert {f.parts[1] for f in set(bucket_files(store)) - set(before)} == {f"bucket={changed[0]}"}
+
+
+def test_a_version_without_manifest_does_not_count(spark, tmp_path):
+    landing, store = tmp_path / "landing", tmp_path / "store"
+    landing.mkdir()
+    scan(landing / "a.csv", line(1, 5))
+    want = ingested(spark, tmp_path)
+    rows = spark.createDataFrame([("fb9",)], "facebook_link string").withColumn("bucket", F.lit(0))
+    rows.write.partitionBy("bucket").parquet(str(store / "version=1"))
+    assert stored(spark, str(store)) == want
+    scan(landing / "b.csv", line(2, 6))
+    assert ingested(spark, tmp_path) == want | {("fb2", 6, "b.csv")}
+
 
-    first = scan(tmp_path / "a.csv", row(1, 5), row(2, 5))
-    table = ingest._apply(spark, spark.createDataFrame([], schemas.NEWS_DATA), [f"file:{first}"])
-    table = files.read_table(spark, sinks.write_parquet(table, str(tmp_path / "t")), schemas.NEWS_DATA)
-    scan(tmp_path / "a.csv", row(1, 2))
-    found = ingest._apply(spark, table, [f"file:{first}"]).collect()
-    assert {(r["facebook_link"], r["facebook_interactions"]) for r in found} == {("fb1", 2)}
+def test_lost_folders_raise(spark, tmp_path):
+    landing, store = tmp_path / "landing", tmp_path / "store"
+    landing.mkdir()
+    scan(landing / "a.csv", line(1, 5))
+    ingested(spark, tmp_path)
+    shutil.copytree(store, tmp_path / "no rows", ignore=lambda d, names: [n for n in names if n.startswith("bucket=")])
+    with pytest.raises(AnalysisException):
+        ingest.stored_table(spark, str(tmp_path / "no rows")).collect()
+    shutil.copytree(store, tmp_path / "no manifest", ignore=lambda d, names: [n for n in names if n == "manifest"])
+    with pytest.raises(FileNotFoundError):
+        ingest.stored_table(spark, str(tmp_path / "no manifest"))
+    assert ingest.stored_table(spark, str(tmp_path / "nothing yet")).count() == 0
 
 
 def test_closed_days_only_with_a_watermark(spark, data, tmp_path):
@@ -170,3 +218,33 @@ def test_closed_days_only_with_a_watermark(spark, data, tmp_path):
     batch = events.groupBy(F.to_date("published").alias("day"), "theme").agg(F.sum("facebook_interactions"))
     assert totals < {tuple(r) for r in batch.collect()}
     assert len({day for day, _, _ in totals}) == 28
+
+
+def test_late_rows_are_left_out_and_days_come_once(spark, tmp_path):
+    schema = "published timestamp, theme string, facebook_interactions long"
+    landing, out, progress = (str(tmp_path / n) for n in ("landing", "out", "progress"))
+
+    def arrive(*rows):
+        frame = spark.createDataFrame([(dt.datetime.fromisoformat(t), x, n) for t, x, n in rows], schema)
+        frame.repartition(3).write.mode("append").parquet(landing)
+        ingest.append_closed_days(spark.readStream.schema(schema).parquet(landing), out, progress).awaitTermination()
+        return sorted((str(r["day"]), r["theme"], r["facebook_interactions"], r["count"]) for r in spark.read.schema("day date, theme string, facebook_interactions long, count long").parquet(out).collect())
+
+    # 3 January is a day behind neither 1 nor 2 January's end.
+    assert arrive(("2024-01-01 10:00", "a", 5), ("2024-01-01 23:59", "a", 1), ("2024-01-02 00:00", "b", 2)) == []
+    assert arrive(("2024-01-03 00:30", "a", 7), ("2024-01-01 12:00", "a", 4)) == [("2024-01-01", "a", 10, 3)]
+    # 1 January is closed: its late row is left out and the day is not written again.
+    assert arrive(("2024-01-01 09:00", "a", 100), ("2024-01-02 09:00", "b", 3), ("2024-01-09 00:00", "a", 1)) == [
+        ("2024-01-01", "a", 10, 3),
+        ("2024-01-02", "b", 5, 2),
+        ("2024-01-03", "a", 7, 1),
+    ]
+
+
+def test_closed_days_of_a_table_in_several_files(spark, data, tmp_path):
+    from pulse.plans.checks.registry import QUERIES
+
+    spark.read.parquet(f"{data}/events.parquet").repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("z02_closed_days", "z02_daily_theme_totals"):
+        whole, cut = (sorted(map(tuple, QUERIES[name](spark, f).collect())) for f in (data, str(tmp_path)))
+        assert whole == cut and whole
