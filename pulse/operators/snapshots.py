@@ -127,7 +127,11 @@ def aggregate_change(
 ) -> DataFrame:
     """Aggregate per key and date, with percent and absolute change since the key's previous date."""
     known = df.where(F.col(key).isNotNull() & F.col("date_extracted").isNotNull())
-    totals = known.groupBy(key, "date_extracted").agg(aggregate(how, column).alias(column))
+    return with_change(known.groupBy(key, "date_extracted").agg(aggregate(how, column).alias(column)), key, column, infinite)
+
+
+def with_change(totals: DataFrame, key: str, column: str = "facebook_interactions", infinite: bool = False) -> DataFrame:
+    """Percent and absolute change of daily totals since the key's previous date."""
     # One row per date is left in a group, so a plain window is bounded by the calendar.
     before = F.lag(column).over(Window.partitionBy(key).orderBy("date_extracted"))
     return totals.withColumn("_before", before).select(

@@ -72,8 +72,9 @@ class Store:
         """Buckets that have a row among ``rows``: at most as many numbers as there are buckets."""
         return sorted(r["bucket"] for r in rows.select(self.bucket()).distinct().collect())
 
-    def commit(self, rows: DataFrame, changed: Sequence[int], files: DataFrame) -> Store:
+    def commit(self, rows: DataFrame, changed: Sequence[int], files: DataFrame | None = None) -> Store:
         """The next version: ``rows`` are all rows of the ``changed`` buckets, the others stay where they are."""
+        files = self.files().limit(0) if files is None else files
         number = self.version + 1
         target = f"{self.path}/version={number}"
         write_parquet(rows.select(*self.schema.names, self.bucket()), target, ["bucket"])
