@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulse.functions import text, values
+from pulse.operators import multilabel
 from pulse.operators.mutate import union_all
 from pulse.operators.ordered import HOT_ROWS, with_fill, with_row_number
 from pulse.operators.ranking import drop_last, keep_large_groups, with_position
@@ -83,32 +85,29 @@ def as_array(df: DataFrame, column: str = "vector") -> DataFrame:
 class LabelSuggester:
     """One yes/no model per label; suggests every label with probability above one half."""
 
-    models: dict[str, LogisticRegressionModel]
+    names: list[str]
+    weights: np.ndarray
+    offsets: np.ndarray
 
     @staticmethod
     def fit(df: DataFrame, labels: str, names: Sequence[str], vector: str = "vector", rounds: int = 20) -> LabelSuggester:
-        """Train on rows with a list of labels; ``names`` is the taxonomy to choose from."""
-        models = {}
-        for name in names:
-            target = F.coalesce(F.array_contains(labels, name), F.lit(False)).cast("double")
-            learner = LogisticRegression(featuresCol=vector, labelCol="_target", maxIter=rounds, regParam=0.01)
-            models[name] = learner.fit(df.select(vector, target.alias("_target")))
-        return LabelSuggester(models)
+        """Train all labels at once on rows with a list of labels; ``names`` is the taxonomy to choose from."""
+        rows = df.select(labels, vector_to_array(vector).alias("_vector"))
+        return LabelSuggester(list(names), *multilabel.fit(rows, labels, list(names), "_vector", rounds, 0.01))
 
     def transform(self, df: DataFrame, output: str, vector: str = "vector") -> DataFrame:
-        if not self.models:
+        if not self.names:
             return df.withColumn(output, F.array().cast("array<string>"))
-        result = df
-        chances = []
-        for place, model in enumerate(self.models.values()):
-            chance = f"_chance_{place}"
-            scorer = model.copy().setFeaturesCol(vector).setProbabilityCol(chance)
-            scorer = scorer.setPredictionCol("").setRawPredictionCol("")
-            result = scorer.transform(result)
-            chances.append(chance)
-        mask = F.array(*[vector_to_array(c)[1] > 0.5 for c in chances])
-        names = F.array(*[F.lit(n) for n in self.models])
-        return result.withColumn(output, values.labels_from_mask(names, mask)).drop(*chances)
+        weights, offsets = self.weights, self.offsets
+
+        @F.pandas_udf("array<boolean>")
+        def likely(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in batches:
+                scores = np.stack(batch.to_numpy()) @ weights.T if len(batch) and weights.size else np.zeros((len(batch), 1))
+                yield pd.Series(list(scores + offsets > 0))
+
+        names = F.array(*[F.lit(n) for n in self.names])
+        return df.withColumn(output, values.labels_from_mask(names, likely(vector_to_array(vector))))
 
 
 def suggest_labels(df: DataFrame, suggester: LabelSuggester | None, output: str, vector: str = "vector") -> DataFrame:
