@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 SPECIAL = "<|endoftext|>"
 LEAF, WINDOW = 2_048, 16
-#: Pieces and words a worker remembers, and the longest of them.
-REMEMBERED, SHORT = 250_000, 32
+#: Pieces and words a worker remembers in each of two generations, and the longest of them.
+REMEMBERED, SHORT = 450_000, 32
 #: The vocabulary's published cutting pattern, with blanks spelled out by property.
 PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -53,16 +54,7 @@ def byte_letters() -> dict[str, int]:
 
 
 def packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
-
-
-def remember(known: dict[str, bytes], key: str, value: bytes) -> bytes:
-    """Keep the value of a short key, forgetting all others when there are too many."""
-    if len(key) <= SHORT:
-        if len(known) >= REMEMBERED:
-            known.clear()
-        known[key] = value
-    return value
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class ByteBpe:
@@ -75,8 +67,9 @@ class ByteBpe:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.find = regex.compile(PATTERN).findall
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        # Ids of pieces and words; a word that is one piece is the same entry.
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.model, letters = self.tokenizer.model, byte_letters()
         self.letter_of = {b: c for c, b in letters.items()}
         vocab = json.loads(self.tokenizer.to_str())["model"]["vocab"]
@@ -88,14 +81,29 @@ class ByteBpe:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _piece(self, piece: str) -> bytes:
-        if len(piece) > LEAF:
-            return packed(self.tree(piece))
-        letters = piece.encode().decode("latin-1").translate(self.letter_of)
-        return remember(self.pieces, piece, packed([t.id for t in self.model.tokenize(letters)]))
+        if len(piece) > SHORT:
+            return packed(self.tree(piece) if len(piece) > LEAF else self.ids(piece))
+        found = self.before.get(piece)
+        if not found:
+            letters = piece.encode().decode("latin-1").translate(self.letter_of)
+            found = packed([t.id for t in self.model.tokenize(letters)])
+        self.known[piece] = found
+        return found
 
     def _word(self, word: str) -> bytes:
-        get = self.pieces.get
-        return remember(self.words, word, b"".join([get(p) or self._piece(p) for p in self.find(word)]))
+        found = self.before.get(word)
+        if not found:
+            letters = word[1:] if word[0] == " " else word
+            if letters.isalpha():
+                return self._piece(word)
+            get = self.known.get
+            if letters[-1:] in ".,;:!?" and letters[:-1].isalpha():  # letters and one sign are always cut apart
+                found = (get(word[:-1]) or self._piece(word[:-1])) + (get(word[-1]) or self._piece(word[-1]))
+            else:
+                found = b"".join([get(p) or self._piece(p) for p in self.find(word)])
+        if len(word) <= SHORT:
+            self.known[word] = found
+        return found
 
     def tree(self, piece: str) -> list[int]:
         """Ids of a piece that the pattern does not cut, by halves."""
@@ -126,12 +134,11 @@ class ByteBpe:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        get, out = self.words.get, []
-        for n, part in enumerate(text.split(SPECIAL)):
-            if n:
-                out.append(packed([self.special]))
-            out.extend([get(w) or self._word(w) for w in WORDS(part)])
-        return b"".join(out)
+        if len(self.known) > REMEMBERED:
+            self.before, self.known = self.known, {}
+        get, word = self.known.get, self._word
+        out = [b"".join([get(w) or word(w) for w in WORDS(part)]) for part in text.split(SPECIAL)]
+        return out[0] if len(out) == 1 else packed([self.special]).join(out)
 
     def decode(self, ids: bytes) -> str:
         table = self.bytes_of
