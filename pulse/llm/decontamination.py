@@ -190,7 +190,7 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "
 
     def search(block: int) -> DataFrame:
         mine = named.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else named
-        listed = docs.sparkSession.sparkContext.broadcast(sorted((r.item_id, r.text) for r in mine.collect()))
+        listed = docs.sparkSession.sparkContext.broadcast(sorted(((r.item_id, r.text) for r in mine.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(listed.value)

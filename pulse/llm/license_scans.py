@@ -73,6 +73,11 @@ def _core(words: str, core: str | None = None) -> tuple[int, int]:
     return next((i, i + len(part)) for i in range(len(every) + 1) if every[i : i + len(part)] == part)
 
 
+def _row(doc_id: str, text: str) -> Column:
+    """128 bits for rows with the same id and text: two independent hashes."""
+    return F.struct(F.xxhash64(doc_id, text).alias("a"), F.xxhash64(F.lit("second"), doc_id, text).alias("b")).alias("uid")
+
+
 def spans(docs: DataFrame, templates: list[tuple[str, ...]], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Verified spans: row key, label, first and last word of the span, share of the template found."""
     spark = docs.sparkSession
@@ -84,7 +89,7 @@ def spans(docs: DataFrame, templates: list[tuple[str, ...]], text: str = "text",
     if sum(len(w.split()) for _, w, *_ in templates) <= BROADCAST_GRAMS:
         grams = F.broadcast(grams)
     # Words are a column of their own, so that they are cut once per text and not once per gram.
-    cut = docs.select(F.xxhash64(doc_id, text).alias("uid"), words_of(F.col(text)).alias("words"))
+    cut = docs.select(_row(doc_id, text), words_of(F.col(text)).alias("words"))
     rows = cut.select("uid", F.posexplode(grams_of(F.col("words"))).alias("pos", "gram"))
     hits = rows.join(grams, "gram").select("uid", "label", "size", "low", "high", "pos", "at").distinct()
     votes = hits.groupBy("uid", "label", "size", "low", "high", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
@@ -112,7 +117,7 @@ def spans(docs: DataFrame, templates: list[tuple[str, ...]], text: str = "text",
 
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", templates=None) -> DataFrame:
     """One row per document: word counts, phrase places, labels of phrases and templates, best share."""
-    marked = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("uid"), words_of(F.col(text)).alias("words"))
+    marked = docs.select(F.col(doc_id).alias("doc_id"), _row(doc_id, text), words_of(F.col(text)).alias("words"))
     maybe = F.array_contains("words", "license")
     places = [F.when(maybe, _phrase_places(F.col("words"), p)).otherwise(F.array().cast("array<int>")) for p, _ in PHRASES]
     counted = marked.select(

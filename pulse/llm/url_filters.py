@@ -122,17 +122,19 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", page_id: str = "
         .agg(F.max_by("rule", F.length("outer")).alias("below"))
     )
     whole = rules.join(outer, ["hkey", "path"], "left")
-    begin = F.concat(F.col("hkey"), F.col("path")).cast("binary")
+    # No host holds a slash, so a rule without a path stays on its own host.
+    begin = F.concat(F.col("hkey"), F.lit("/"), F.col("path")).cast("binary")
     # An empty struct field tells a closed stack from no event at all.
     opened = whole.select(begin.alias("key"), F.lit(1).alias("kind"), F.struct(F.struct("host", "path", "verdict").alias("rule")).alias("state"))
     closed = whole.select(F.concat(begin, top).alias("key"), F.lit(0).alias("kind"), F.struct(F.col("below").alias("rule")).alias("state"))
     paths = hosted.select(
         "page_id", "host", "path", "n", F.explode_outer("state").alias("open")
-    ).withColumn("key", F.concat(F.coalesce("open", F.lit("")), F.lit(""), F.col("path")).cast("binary"))
+    ).withColumn("key", F.concat(F.coalesce("open", F.lit("")), F.lit("/"), F.col("path")).cast("binary"))
     found = _sweep(paths, opened.unionByName(closed), ["page_id", "host"])
     rule = F.when(F.col("open").isNotNull(), F.col("state.rule"))
     best = found.groupBy("page_id", "host", "path", "n").agg(
-        F.max_by(rule, F.when(rule.isNotNull(), F.length("open") + F.length(rule["path"]))).alias("rule")
+        # Of rules of the same length the one of the longer host counts.
+        F.max_by(rule, F.when(rule.isNotNull(), F.struct(F.length("open") + F.length(rule["path"]), F.length("open")))).alias("rule")
     )
     return best.select(
         F.explode(F.expr("sequence(1L, n)")).alias("_copy"),

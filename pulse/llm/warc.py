@@ -20,10 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DATE = "1970-01-01T00:00:00Z"
-SILENT = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>")
-BREAK = re.compile(r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|article|section|nav|header|footer|title|body|head)\b[^>]*>")
-TAG = re.compile(r"<[^>]*>")
-LINK = re.compile(r"""(?i)<a\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""")
+#: Elements whose content is no text, and those that end a line.
+SILENT = frozenset("script style noscript template".split())
+BREAK = frozenset("p div br li ul ol h1 h2 h3 h4 h5 h6 tr td th table article section nav header footer title body head".split())
+TAG = re.compile(r"<[a-zA-Z/!?]")
+NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)(?![\w-])")
+CLOSE = {name: re.compile(rf"(?i)</{name}\s*>") for name in SILENT}
+HREF = re.compile(r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""")
 BLANKS = re.compile(r"[ \t\r\f\v]+")
 
 
@@ -35,11 +38,53 @@ def record_id(kind: str, page_id: object, url: str | None, payload: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {page_id} {url} {payload}')}>"
 
 
-def plain_text(html: str) -> str:
-    """Text of a page: silent elements and tags removed, block ends as line ends, entities resolved."""
-    text = entities.unescape(TAG.sub("", BREAK.sub("\n", SILENT.sub(" ", html))))
+def scan(html: str) -> tuple[str, list[str]]:
+    """Text of a page and the targets of its links, in one pass from tag to tag.
+
+    Silent elements, comments and tags are removed, block ends become line ends, entities are resolved. A comment or
+    silent element that is never closed loses its tag only, and what no sign ends is text; each search for
+    an end is made once where it fails, so the time is in proportion to the length.
+    """
+    out, links, at, unclosed = [], [], 0, set()
+    while (opens := html.find("<", at)) >= 0:
+        out.append(html[at:opens])
+        if html.startswith("<!--", opens) and "!" not in unclosed:
+            end = html.find("-->", opens + 4)
+            if end >= 0:
+                out.append(" ")
+                at = end + 3
+                continue
+            unclosed.add("!")
+        if not TAG.match(html, opens):
+            out.append("<")
+            at = opens + 1
+            continue
+        end = html.find(">", opens)
+        if end < 0:
+            at = opens
+            break
+        name = NAME.match(html, opens, end)
+        kind = name[1].lower() if name else ""
+        at = end + 1
+        if kind in SILENT and html[opens + 1] != "/" and kind not in unclosed:
+            close = CLOSE[kind].search(html, at)
+            if close:
+                out.append(" ")
+                at = close.end()
+                continue
+            unclosed.add(kind)
+        if kind in BREAK:
+            out.append("\n")
+        elif kind == "a" and (link := HREF.search(html, opens, end)):
+            links.append(link[1])
+    out.append(html[at:])
+    text = entities.unescape("".join(out))
     lines = (BLANKS.sub(" ", line).strip() for line in text.split("\n"))
-    return "\n".join(line for line in lines if line)
+    return "\n".join(line for line in lines if line), links
+
+
+def plain_text(html: str) -> str:
+    return scan(html)[0]
 
 
 def record(headers: dict[str, str | None], block: bytes) -> bytes:
@@ -56,8 +101,8 @@ def derive(page_id: object, url: str | None, html: str | None) -> list[tuple[str
     source = record_id("response", page_id, url, payload)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + body
     shared = {"WARC-Target-URI": target, "WARC-Date": DATE}
-    text = plain_text(html or "").encode()
-    links = LINK.findall(html or "")
+    plain, links = scan(html or "")
+    text = plain.encode()
     fields = "".join(
         [f"sourceDigest: {payload}\r\n", f"contentLength: {len(body)}\r\n", *(f"outlink: {re.sub(r'[\r\n]', '', x)}\r\n" for x in links)]
     ).encode()

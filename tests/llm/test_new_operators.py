@@ -10,6 +10,7 @@ from itertools import permutations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pulse.llm import filter_audit, queries, suffix_dedup, vector_codes
 
@@ -250,5 +251,87 @@ def test_a_very_long_text_takes_pieces(spark):
     assert got[0].n_removed == 900 and got[0].n_spans == 1 and got[1].n_removed == 900 and got[1].n_bytes == 902
 
 
+def test_url_rules_against_brute_force(spark):
+    """Rules with and without paths, nested hosts, equal lengths."""
+    from pulse.llm import url_filters
+
+    rng = random.Random(8)
+    hosts = ["com", "b.com", "a.b.com", "net", "x.net", "b", "ab.com"]
+    paths = ["", "/", "/a", "/a/", "/a/b", "/b"]
+    for round_ in range(4):
+        rules = list({(rng.choice(hosts), rng.choice(paths)): rng.choice(["allow", "block"]) for _ in range(9)}.items())
+        rules = [(h, p, v) for (h, p), v in rules] + ([("com", "", "allow"), ("com", "/a", "block"), ("b.com", "/en/", "block")] if round_ == 0 else [])
+        rules = list({(h, p): (h, p, v) for h, p, v in rules}.values())
+        urls = ["http://" + rng.choice(["", "w.", "w.a."]) + rng.choice(hosts) + rng.choice(paths + ["/aa", "/a/bc", "/zz"]) for _ in range(60)]
+        pages = spark.createDataFrame([(i, u) for i, u in enumerate([*urls, "http://b.com" + "/a" * 5_000])], "page_id long, url string")
+        got = {r.page_id: (r.rule, r.verdict) for r in url_filters.judge(pages, url_filters.rules_frame(spark, rules)).collect()}
+        for i, url in enumerate([*urls, "http://b.com" + "/a" * 5_000]):
+            host, _, path = url[7:].partition("/")
+            path = "/" + path if _ else ""
+            fits = [(len(h) + len(p), len(h), h + p, v) for h, p, v in rules if ("." + host).endswith("." + h) and path.startswith(p)]
+            assert got[i] == (max(fits)[2:] if fits else (None, "allow")), url
+
+
+def test_items_without_an_id(spark):
+    from pulse.llm import decontamination
+
+    leak = "Which of the seven quiet rivers runs north past the old mill? The green one does so."
+    items = spark.createDataFrame([(None, leak), (2, leak), (2, leak), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "before " + leak + " after"), (None, leak)], "doc_id long, text string")
+    found = Counter((r.doc_id, r.item_id) for r in decontamination.leaks(docs, items).collect())
+    assert set(found) == {(1, None), (1, 2), (None, None), (None, 2)}
+
+
+def test_pages_take_time_in_proportion():
+    import time
+
+    from pulse.llm import warc
+
+    for odd in ("<a ", "<script>", "<!-- ", "<", "<p", "</script", "<style><a href=x"):
+        begin = time.time()
+        warc.derive(1, "u", odd * (1_000_000 // len(odd)))
+        assert time.time() - begin < 2, odd
+
+
+def test_page_text_and_links():
+    from pulse.llm import warc
+
+    page = "<title>T</title><p>one <b>two</b><!-- no <a href=n> --><br>three &amp; <script>var x = '<a href=q>'</script >end<a class=k href='l1'>x</a><a href=l2>"
+    assert warc.scan(page) == ("T\none two\nthree & endx", ["l1", "l2"])
+    assert warc.scan("a < b <!-- open <p>c") == ("a < b c", []) and warc.scan("x <script>y") == ("x y", []) and warc.scan("a < b") == ("a < b", [])
+
+
+def test_archive_records_against_the_page(spark, data):
+    """Three linked records per page: lengths, digests and refers-to ids hold, payloads are the pages'."""
+    import base64
+    import hashlib as hl
+
+    from pulse.llm import warc
+
+    sha = lambda b: "sha1:" + base64.b32encode(hl.sha1(b).digest()).decode()
+    pages = spark.read.parquet(f"{data}/pages.parquet").withColumn("record", F.lit(1))
+    extra = spark.createDataFrame([(-1, None, None, 1), (-2, "u\r\nX: y", "", 1), (-2, "u\r\nX: y", "", 1)], pages.schema)
+    by_page = {}
+    for r in warc.derivatives(pages.unionByName(extra)).collect():
+        by_page.setdefault(r.page_id, []).append(r)
+    html = {r.page_id: r.html or "" for r in pages.unionByName(extra).collect()}
+    assert set(by_page) == set(html) and all(len(v) == (6 if k == -2 else 3) for k, v in by_page.items())
+    for page, records in by_page.items():
+        source = next(r.record_id for r in records if r.warc_type == "response")
+        for r in records:
+            head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
+            fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+            block = rest[:-4]
+            assert int(fields["Content-Length"]) == len(block) and fields["WARC-Block-Digest"] == sha(block)
+            assert fields["WARC-Record-ID"] == r.record_id and rest.endswith(b"\r\n\r\n") and "X" not in fields
+            if r.warc_type == "response":
+                assert block.partition(b"\r\n\r\n")[2] == html[page].encode() and fields["WARC-Payload-Digest"] == sha(html[page].encode())
+            else:
+                assert fields["WARC-Refers-To"] == source
+            if r.warc_type == "conversion":
+                assert block.decode() == warc.plain_text(html[page]) and "<p" not in block.decode()
+    assert warc.derivatives(pages.limit(0)).count() == 0
+
+
 def test_new_queries_are_registered():
     assert {"op11_filter_audit", "op12_vector_codes", "op13_suffix_dedup"} <= set(queries.QUERIES) & set(queries.ORACLES)
