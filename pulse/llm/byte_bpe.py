@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 SPECIAL = "<|endoftext|>"
 LEAF, WINDOW = 2_048, 16
 #: Pieces and words a worker remembers in each of two generations, and the longest of them.
-REMEMBERED, SHORT = 450_000, 32
+REMEMBERED, SHORT = 200_000, 32
 #: The vocabulary's published cutting pattern, with blanks spelled out by property.
 PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
