@@ -110,7 +110,7 @@ def suggest_labels(spark, folder):
         "doc_id",
         "left",
     )
-    rows = settle(rows)
+    rows = settle(rows.select("doc_id", "vector", "themes", "indexes"))
     for kind, output in (("themes", "suggested"), ("indexes", "suggested_indexes")):
         known = rows.where(F.col(kind).isNotNull())
         names = known.select(F.explode(kind).alias("name")).distinct().orderBy("name").collect()
