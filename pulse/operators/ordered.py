@@ -155,39 +155,6 @@ def with_running_total(
     return _by_size(df, keys, order, plain, sliced, hot_rows, rows)
 
 
-def exact_quantiles(
-    df: DataFrame, column: str, probabilities: Sequence[float], hot_rows: int = HOT_ROWS
-) -> list[float]:
-    """Exact quantiles with linear interpolation, without holding all values in one task.
-
-    Values are first counted per distinct value; a distributed running total then
-    gives every value its rank interval, and only the rows that cover a wanted
-    rank come back (at most two per probability).
-    """
-    counts = (
-        df.select(F.col(column).cast("double").alias("value"))
-        .where(F.col("value").isNotNull() & ~F.isnan("value"))
-        .groupBy("value")
-        .count()
-    )
-    total, different = counts.agg(F.sum("count"), F.count("*")).first()
-    if not total:
-        return [math.nan] * len(probabilities)
-    spots = [p * (total - 1) for p in probabilities]
-    ranks = sorted({r for s in spots for r in (math.floor(s), math.ceil(s))})
-    running = with_running_total(counts, [], ["value"], "count", "upto", hot_rows, different)
-    wanted = F.filter(
-        F.lit(ranks).cast("array<bigint>"), lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("count"))
-    )
-    found = running.select("value", F.explode(wanted).alias("rank")).collect()
-    value_at = {row["rank"]: row["value"] for row in found}
-    result = []
-    for spot in spots:
-        low, high = value_at[math.floor(spot)], value_at[math.ceil(spot)]
-        result.append(low + (high - low) * (spot - math.floor(spot)))
-    return result
-
-
 def paged_lists(
     df: DataFrame,
     keys: Sequence[str],

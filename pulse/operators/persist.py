@@ -66,7 +66,7 @@ def load(spark: SparkSession, path: str) -> Model:
         case "MinMaxModel":
             return scaling.MinMaxModel({c: scaling.ScalerModel(**m) for c, m in state["bounds"].items()})
         case "PowerModel":
-            return scaling.PowerModel(state["column"], state["power"], scaling.ScalerModel(**state["scaler"]))
+            return scaling.PowerModel(**{**state, "scaler": scaling.ScalerModel(**state["scaler"])})
         case "QuantileModel":
             return scaling.QuantileModel(**state)
         case kind:

@@ -43,7 +43,28 @@ def yeo_johnson(spark, folder):
     return a.table(spark, folder, "customer").select("c_custkey", r6(scaling.yeo_johnson("c_acctbal", 0.5)).alias("value"))
 
 
-@check("x02_power_transform")
+# The derivative of the likelihood is halved in on from both sides; its middle never hits 0 or 2, where the formulas have no value.
+_MOVED = """CASE WHEN x >= 0 THEN (exp(p * u) - 1) / p ELSE -(exp((2 - p) * u) - 1) / (2 - p) END AS y,
+  CASE WHEN x >= 0 THEN (exp(p * u) * (p * u - 1) + 1) / (p * p)
+    ELSE (exp((2 - p) * u) * ((2 - p) * u - 1) + 1) / ((2 - p) * (2 - p)) END AS d"""
+
+
+def power_sql(name: str, source: str, key: str, column: str) -> str:
+    """Common tables ``name``: ``key`` and the standardised power transform of a column; needs WITH RECURSIVE."""
+    return f"""{name}_x AS (SELECT {key}, CAST({column} AS DOUBLE) AS x, ln(1 + abs(CAST({column} AS DOUBLE))) AS u FROM {source}),
+{name}_search AS (SELECT 0 AS i, CAST(-6.1 AS DOUBLE) AS lo, CAST(6.7 AS DOUBLE) AS hi UNION ALL
+  SELECT i + 1, CASE WHEN g > 0 THEN p ELSE lo END, CASE WHEN g > 0 THEN hi ELSE p END FROM (
+    SELECT i, lo, hi, p, avg(sign(x) * u) - covar_pop(y, d) / var_pop(y) AS g
+    FROM (SELECT i, lo, hi, p, x, u, {_MOVED} FROM (SELECT *, (lo + hi) / 2 AS p FROM {name}_search WHERE i < 50), {name}_x)
+    GROUP BY i, lo, hi, p)),
+{name}_moved AS (SELECT {key}, {_MOVED} FROM {name}_x, (SELECT (lo + hi) / 2 AS p FROM {name}_search WHERE i = 50)),
+{name} AS (SELECT {key}, (y - avg(y) OVER ()) / stddev_pop(y) OVER () AS scaled FROM {name}_moved)"""
+
+
+@check(
+    "x02_power_transform",
+    f"WITH RECURSIVE {power_sql('pt', 'customer', 'c_custkey', 'c_acctbal')} SELECT c_custkey, round(scaled, 3) AS scaled FROM pt",
+)
 def power_transform(spark, folder):
     rows = a.table(spark, folder, "customer").select("c_custkey", "c_acctbal")
     scaled = scaling.fit_power(rows, "c_acctbal").transform(rows, "scaled")
@@ -293,7 +314,18 @@ def prepare_articles(spark, folder):
     )
 
 
-@check("x16_label_articles")
+@check(
+    "x16_label_articles",
+    f"""WITH RECURSIVE {a.SNAPS}, seen AS (
+  SELECT link, facebook_interactions AS v,
+    row_number() OVER (PARTITION BY link ORDER BY headline DESC, published, date_extracted, event_id) AS n FROM snaps),
+merged AS (SELECT link, avg(v) AS mean, greatest(coalesce(regr_slope(v, n), 0), 0) AS gradient FROM seen GROUP BY link),
+{power_sql('slope', 'merged', 'link', 'gradient')},
+{power_sql('level', 'merged', 'link', 'mean')}
+SELECT link, round(mean, 6) AS mean, round(gradient, 6) AS gradient,
+  CAST(CASE WHEN slope.scaled > 1 OR level.scaled > 1 THEN 2 WHEN slope.scaled < -1 OR level.scaled < -1 THEN 0 ELSE 1 END AS INTEGER) AS label
+FROM merged JOIN slope USING (link) JOIN level USING (link)""",
+)
 def label_articles(spark, folder):
     rows = a.snapshots(spark, folder)
     unique = first_per_group(rows, ["link"], ["published", "event_id"])

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import random
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,18 +79,6 @@ def test_first_per_group_limits_before_the_shuffle(rows):
     assert plan.count("WindowGroupLimit") == 2
 
 
-@pytest.mark.parametrize("hot_rows", [HOT, ordered.HOT_ROWS])
-def test_exact_quantiles(rows, hot_rows):
-    wanted = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
-    values = [r["value"] for r in rows.where("value is not null").collect()]
-    found = ordered.exact_quantiles(rows, "value", wanted, hot_rows)
-    assert np.allclose(found, np.quantile(values, wanted))
-
-
-def test_exact_quantiles_of_nothing(rows):
-    assert np.isnan(ordered.exact_quantiles(rows.where("false"), "value", [0.5])).all()
-
-
 @pytest.mark.parametrize("hot_rows", [HOT, ordered.HOT_ROWS])
 def test_pages_hold_every_item_in_order(rows, hot_rows):
     pages = ordered.paged_lists(rows, ["key"], ["at", "id"], {"ids": "id"}, 7, hot_rows).collect()
