@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulse.functions import values
+from pulse.operators.bootstrap import bootstrap_means
 from pulse.operators.ordered import HOT_ROWS, first_per_group, order_by, with_row_number
 from pulse.operators.snapshots import ARTICLE_ORDER
 
@@ -68,6 +69,13 @@ def activity_curve(activity: DataFrame) -> DataFrame:
     ).drop("_spread")
 
 
+def bootstrap_curve(activity: DataFrame, replicates: int = 1_000) -> DataFrame:
+    """Mean interactions per day number and label with a 95 % bootstrap interval; an observation is a link and its number."""
+    known = activity.where(F.col("label").isNotNull())
+    made = bootstrap_means(known, ["day", "label"], "facebook_interactions", ["link", "day"], replicates)
+    return made.withColumnRenamed("mean_facebook_interactions", "mean_interactions")
+
+
 def index_daily_activity(activity: DataFrame) -> DataFrame:
     """Mean interactions per index and day number."""
     known = activity.where(F.col("article_index").isNotNull())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pulse.functions import values
 from pulse.operators import articles as art
 from pulse.operators import evaluate, features, labelling, models, ranking, snapshots
+from pulse.operators.bootstrap import BOUNDS, PRIME
 from pulse.operators.ordered import first_per_group, with_fill
 from pulse.plans.checks import adapters as a
 from pulse.plans.checks.registry import check, joined, r6
@@ -370,6 +371,28 @@ def activity_curve(spark, folder):
     return rows.withColumns({c: r6(c) for c in ("mean_interactions", "low", "high")})
 
 
+_DRAWN = f"((((k3 * r + k2) % {PRIME}) * r + k1) % {PRIME} * r + k0) % {PRIME}"
+_KEYS = ", ".join(f"CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT) % {PRIME} AS k{i}" for i in range(4))
+
+
+@check(
+    "a19_bootstrap_curve",
+    a.using(a.SNAPS) + _ACTIVITY + f""",
+keyed AS (SELECT day, label, facebook_interactions AS v, {_KEYS}
+  FROM (SELECT *, md5(link || '|' || day) AS h FROM act WHERE label IS NOT NULL)),
+drawn AS (SELECT day, label, v, r, {_DRAWN} AS u FROM keyed, (SELECT unnest(range(1, 1001)) AS r)),
+weighed AS (SELECT day, label, v, r, {" + ".join(f"CAST(u >= {b} AS INTEGER)" for b in BOUNDS)} AS w FROM drawn),
+means AS (SELECT day, label, r, sum(w * v) / nullif(sum(w), 0) AS m FROM weighed GROUP BY 1, 2, 3),
+ends AS (SELECT day, label, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM means GROUP BY 1, 2)
+SELECT day, label, round(mean, 8) AS mean_interactions, "count", round(low, 8) AS low, round(high, 8) AS high
+FROM (SELECT day, label, avg(facebook_interactions) AS mean, count(*) AS "count" FROM act WHERE label IS NOT NULL GROUP BY 1, 2)
+JOIN ends USING (day, label)""",
+)
+def bootstrap_curve(spark, folder):
+    rows = labelling.bootstrap_curve(_activity(spark, folder))
+    return rows.withColumns({c: F.round(c, 8) for c in ("mean_interactions", "low", "high")})
+
+
 _INDEX_DAYS = _SEEN + """, daily AS (
   SELECT "index" AS article_index, day, avg(facebook_interactions) AS v FROM seen GROUP BY 1, 2)"""
 
