@@ -127,6 +127,98 @@ def lexicon_scores(
     return joined.withColumns(results).drop(*[f"_{k}_{p}" for k in "nps" for p in cut])
 
 
+# Words that turn the polarity of what follows.
+NEGATIONS = ("no", "not", "never", "none", "nor", "cannot", "without")
+
+
+def _word_stem(word: Column) -> Column:
+    """A lower-case word without punctuation around it."""
+    return F.regexp_replace(F.lower(word), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+
+
+def context_scores(
+    df: DataFrame,
+    key: str,
+    columns: Sequence[str],
+    lexicon: DataFrame,
+    negations: Sequence[str] = NEGATIONS,
+    window: int = 3,
+    turn: float = -0.5,
+    lexicon_rows: int = LEXICON_ROWS,
+) -> DataFrame:
+    """Polarity and subjectivity of each text, where words before a scored word change its score.
+
+    ``lexicon`` has ``word``, ``polarity``, ``subjectivity`` and ``intensity``, one row per
+    word; ``key`` is unique. A word with an intensity is an intensifier: it scores nothing
+    itself but multiplies polarity and subjectivity of a scored word right after it, and a
+    row of them multiplies all their intensities. A negation, or a word that ends in
+    ``n't``, multiplies the polarity of the first scored word among the ``window`` words
+    after it by ``turn``; two of them cancel out. Scores stay within -1 to 1 and 0 to 1;
+    a text scores the mean over its scored words, 0 without any, null or empty included.
+    A negation that the lexicon lists is a negation. Words are lower-cased and lose
+    punctuation at both ends before they are looked up.
+
+    Only scored words, intensifiers and negations are gathered per text, so a task never
+    holds more than one text's worth of them; they are folded in their order, natively.
+    """
+    parts = [F.struct(F.lit(i).alias("place"), F.col(c).alias("body")) for i, c in enumerate(columns)]
+    texts = df.select(F.col(key).alias("_key"), F.explode(F.array(*parts)).alias("text"))
+    tokens = texts.select("_key", "text.place", F.posexplode(text.words("text.body")).alias("at", "raw"))
+    stem = _word_stem(F.col("raw"))
+    tokens = tokens.select("_key", "place", "at", stem.alias("word"), F.translate(stem, "\u2019", "'").alias("flat"))
+    turns = F.col("flat").isin(*negations) | F.col("flat").rlike("n't$")
+    scores = lexicon.select(
+        F.col("word"), *[F.col(c).cast("double").alias(c) for c in ("polarity", "subjectivity", "intensity")]
+    )
+    known = tokens.join(broadcast_if_small(scores, lexicon_rows), "word", "left").withColumn("turns", turns)
+    heard = known.where(F.col("turns") | F.col("intensity").isNotNull() | F.col("polarity").isNotNull())
+    item = F.struct("at", "turns", "intensity", "polarity", "subjectivity")
+    rows = heard.groupBy("_key", "place").agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+    nothing = F.struct(
+        F.lit(0.0).alias("polarity"),
+        F.lit(0.0).alias("subjectivity"),
+        F.lit(0).alias("scored"),
+        F.lit(1.0).alias("boost"),
+        F.lit(-2).alias("boosted"),
+        F.lit(1.0).alias("factor"),
+        F.lit(-1).alias("until"),
+    )
+
+    def fold(state: Column, item: Column) -> Column:
+        at = item["at"]
+        # What earlier words still mean at this place.
+        boost = F.when(state["boosted"] == at - 1, state["boost"]).otherwise(1.0)
+        factor = F.when(at <= state["until"], state["factor"]).otherwise(1.0)
+        boosts = ~item["turns"] & item["intensity"].isNotNull()
+        scores = ~item["turns"] & item["intensity"].isNull()
+        polarity = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), item["polarity"] * boost * factor))
+        subjectivity = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(item["subjectivity"], F.lit(0.0)) * boost))
+        turned = F.when(factor == 1.0, F.lit(float(turn))).otherwise(F.lit(1.0))
+        return F.struct(
+            (state["polarity"] + F.when(scores, polarity).otherwise(0.0)).alias("polarity"),
+            (state["subjectivity"] + F.when(scores, subjectivity).otherwise(0.0)).alias("subjectivity"),
+            (state["scored"] + F.when(scores, 1).otherwise(0)).alias("scored"),
+            F.when(boosts, boost * item["intensity"]).otherwise(1.0).alias("boost"),
+            F.when(boosts, at).otherwise(-2).alias("boosted"),
+            F.when(item["turns"], turned).when(scores, 1.0).otherwise(factor).alias("factor"),
+            F.when(item["turns"], at + window).when(scores, -1).otherwise(state["until"]).alias("until"),
+        )
+
+    folded = rows.select("_key", "place", F.aggregate("items", nothing, fold).alias("sums"))
+    mean = lambda part: F.coalesce(F.try_divide(F.col(f"sums.{part}"), F.col("sums.scored")), F.lit(0.0))
+    folded = folded.select("_key", "place", mean("polarity").alias("p"), mean("subjectivity").alias("s"))
+    wide = folded.groupBy("_key").agg(
+        *[F.max(F.when(F.col("place") == i, F.col(v))).alias(f"_{v}_{i}") for i in range(len(columns)) for v in "ps"]
+    )
+    joined = df.join(wide, F.col(key) == F.col("_key"), "left")
+    results = {}
+    for i, c in enumerate(columns):
+        results[f"{c}_sentiment"] = F.coalesce(F.col(f"_p_{i}"), F.lit(0.0))
+        results[f"{c}_subjectivity"] = F.coalesce(F.col(f"_s_{i}"), F.lit(0.0))
+    return joined.withColumns(results).drop("_key", *[f"_{v}_{i}" for i in range(len(columns)) for v in "ps"])
+
+
 def domain_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """The fixed publisher tables: domain to group (18 rows) and group to traffic (14 rows)."""
     groups = spark.createDataFrame(list(domains.DOMAIN_GROUPS.items()), "domain string, domain_group string")
