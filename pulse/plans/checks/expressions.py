@@ -178,6 +178,46 @@ def lexicon_score(spark, folder):
     return scored.select("doc_id", r6("headline_sentiment").alias("sentiment"), r6("headline_subjectivity").alias("subjectivity"))
 
 
+_TURNING = ("no", "the", "der")
+_FLAT = "replace(t.word, chr(8217), chr(39))"
+
+
+@check(
+    "f08_context_score",
+    f"""WITH {LEXICON},
+scale AS (SELECT word, polarity, subjectivity, CASE length(word) WHEN 2 THEN 1.25 WHEN 8 THEN 0.5 END AS intensity FROM lex),
+raw AS (SELECT doc_id, {words_sql('text')} AS words FROM documents),
+tokens AS (SELECT doc_id, regexp_replace(lower(unnest(words)), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g') AS word,
+  unnest(range(len(words))) AS pos FROM raw),
+kinds AS (SELECT doc_id, pos, polarity, subjectivity, intensity, {_FLAT} IN {_TURNING} OR {_FLAT} LIKE '%n''t' AS turns
+  FROM tokens t LEFT JOIN scale USING (word)),
+heard AS (SELECT *, CASE WHEN turns THEN 'n' WHEN intensity IS NOT NULL THEN 'i' ELSE 's' END AS kind
+  FROM kinds WHERE turns OR polarity IS NOT NULL),
+parts AS (SELECT *, count(*) FILTER (kind = 's') OVER (PARTITION BY doc_id ORDER BY pos
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS part FROM heard),
+turned AS (SELECT doc_id, part, pos, pos - lag(pos) OVER (PARTITION BY doc_id, part ORDER BY pos) <= 3 AS linked FROM parts WHERE kind = 'n'),
+chains AS (SELECT doc_id, part, pos, count(*) FILTER (linked IS NOT TRUE) OVER (PARTITION BY doc_id, part ORDER BY pos) AS chain FROM turned),
+ends AS (SELECT doc_id, part, arg_max(chain, pos) AS chain, max(pos) AS pos FROM chains GROUP BY 1, 2),
+odd AS (SELECT e.doc_id, e.part, e.pos, count(*) % 2 = 1 AS odd FROM ends e
+  JOIN chains c ON c.doc_id = e.doc_id AND c.part = e.part AND c.chain = e.chain GROUP BY 1, 2, 3),
+boosts AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run, intensity FROM parts WHERE kind = 'i'),
+runs AS (SELECT doc_id, max(pos) AS pos, product(intensity) AS boost FROM boosts GROUP BY doc_id, run),
+scored AS (SELECT s.doc_id, s.polarity * coalesce(boost, 1) * CASE WHEN odd AND s.pos - o.pos <= 3 THEN -0.5 ELSE 1 END AS p,
+  s.subjectivity * coalesce(boost, 1) AS s
+  FROM parts s LEFT JOIN runs r ON r.doc_id = s.doc_id AND r.pos = s.pos - 1
+  LEFT JOIN odd o ON o.doc_id = s.doc_id AND o.part = s.part WHERE kind = 's'),
+means AS (SELECT doc_id, avg(greatest(-1, least(1, p))) AS p, avg(greatest(0, least(1, s))) AS s FROM scored GROUP BY 1)
+SELECT d.doc_id, round(coalesce(p, 0), 6) AS sentiment, round(coalesce(s, 0), 6) AS subjectivity
+FROM documents d LEFT JOIN means ON d.doc_id = means.doc_id""",
+)
+def context_score(spark, folder):
+    rows = a.table(spark, folder, "documents").select("doc_id", F.col("text").alias("headline"))
+    intensity = F.when(F.length("word") == 2, 1.25).when(F.length("word") == 8, 0.5)
+    lexicon = a.lexicon(spark, folder).withColumn("intensity", intensity)
+    scored = features.context_scores(rows, "doc_id", ["headline"], lexicon, _TURNING)
+    return scored.select("doc_id", r6("headline_sentiment").alias("sentiment"), r6("headline_subjectivity").alias("subjectivity"))
+
+
 @check(
     "f09_anchor",
     """SELECT page_id, '<a target="_blank" href="' || url || '">' || page_id || '</a>' AS link FROM pages""",
