@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Ranges of values a task counts per column and round, so also the most rows a round brings back per column.
+# Ranges of values counted per column and round, so also the most rows a round brings back per column.
 RANGES = 1 << 17
 # Sign, exponent and the first four binary digits: the ranges of the first round.
 FIRST_BITS = 16
@@ -20,10 +19,11 @@ FIRST_BITS = 16
 Probabilities = Sequence[float] | Callable[[int], Sequence[float]]
 
 
-def ordered_keys(values: np.ndarray) -> np.ndarray:
-    """Unsigned integers in the order of the doubles they stand for."""
-    bits = (np.asarray(values, dtype=np.float64) + 0.0).view(np.int64)
-    return (bits ^ ((bits >> 63) & np.int64(2**63 - 1))).view(np.uint64) ^ np.uint64(1 << 63)
+def ordered_key(value: Column) -> Column:
+    """A 64-bit key of a double; read as an unsigned number it keeps the order of the doubles."""
+    plain = F.when(value == 0, 0.0).otherwise(value)
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), plain).cast("long")
+    return F.when(bits >= 0, bits.bitwiseXOR(F.lit(-(2**63)).cast("long"))).otherwise(F.bitwise_not(bits))
 
 
 @dataclass
@@ -40,17 +40,6 @@ class _Search:
     spots: list[float] = field(default_factory=list)
     found: dict[int, float] = field(default_factory=dict)
 
-    def slots(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys lie in an open range, and the number of the part they fall into."""
-        if self.depth:
-            top = keys >> np.uint64(64 - self.depth)
-            at = np.minimum(np.searchsorted(self.prefixes, top), len(self.prefixes) - 1)
-            inside = self.prefixes[at] == top
-        else:
-            at, inside = np.zeros(len(keys), np.int64), np.ones(len(keys), bool)
-        part = (keys >> np.uint64(64 - self.depth - self.bits)) & np.uint64((1 << self.bits) - 1)
-        return inside, ((at.astype(np.int64) << self.bits) | part.astype(np.int64))[inside]
-
     def narrow(self, counted: pd.DataFrame) -> None:
         """Go on with the parts that hold a wanted rank and more than one value."""
         counted = counted.sort_values("slot")
@@ -98,38 +87,28 @@ class _Search:
         return out
 
 
-def _count_parts(df: DataFrame, searches: Mapping[str, _Search]) -> pd.DataFrame:
+def _count_parts(df: DataFrame, searches: Mapping[str, _Search]) -> DataFrame:
     """Rows, smallest and largest value per column and part; tasks sum before the shuffle."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = {c: len(s.prefixes) << s.bits for c, s in searches.items()}
-        rows = {c: np.zeros(n, np.int64) for c, n in sizes.items()}
-        low = {c: np.full(n, np.inf) for c, n in sizes.items()}
-        high = {c: np.full(n, -np.inf) for c, n in sizes.items()}
-        for batch in batches:
-            for column, search in searches.items():
-                values = batch.column(column).to_numpy(zero_copy_only=False).astype(np.float64)
-                values = values[~np.isnan(values)] + 0.0
-                inside, slot = search.slots(ordered_keys(values))
-                np.add.at(rows[column], slot, 1)
-                np.minimum.at(low[column], slot, values[inside])
-                np.maximum.at(high[column], slot, values[inside])
-        for place, column in enumerate(searches):
-            slot = np.flatnonzero(rows[column])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(slot), place, np.int32)),
-                    pa.array(slot.astype(np.int64)),
-                    pa.array(rows[column][slot]),
-                    pa.array(low[column][slot]),
-                    pa.array(high[column][slot]),
-                ],
-                ["place", "slot", "rows", "low", "high"],
-            )
-
-    parts = df.mapInArrow(count, "place int, slot bigint, rows bigint, low double, high double")
-    sums = parts.groupBy("place", "slot").agg(F.sum("rows").alias("rows"), F.min("low").alias("low"), F.max("high").alias("high"))
-    return sums.toPandas()
+    cells = [F.struct(F.lit(i).alias("place"), F.col(c).alias("value")) for i, c in enumerate(searches)]
+    values = df.select(F.inline(F.array(*cells))).where("value IS NOT NULL AND NOT isnan(value)")
+    keyed = values.withColumn("key", ordered_key(F.col("value")))
+
+    def by_column(number: Callable[[_Search], int]) -> str:
+        return f"CASE {' '.join(f'WHEN place = {i} THEN {number(s)}' for i, s in enumerate(searches.values()))} END"
+
+    if all(s.depth for s in searches.values()):
+        listed = [(i, int(p), n) for i, s in enumerate(searches.values()) for n, p in enumerate(s.prefixes)]
+        ranges = df.sparkSession.createDataFrame(listed, "place int, prefix bigint, number bigint")
+        top = F.expr(f"shiftrightunsigned(key, {by_column(lambda s: 64 - s.depth)})")
+        # One row per open range: at most two per wanted rank.
+        keyed = keyed.withColumn("prefix", top).join(F.broadcast(ranges), ["place", "prefix"])
+    else:
+        keyed = keyed.withColumn("number", F.lit(0).cast("long"))
+    bits, rest = by_column(lambda s: s.bits), by_column(lambda s: 64 - s.depth - s.bits)
+    slot = F.expr(f"shiftleft(number, {bits}) | (shiftrightunsigned(key, {rest}) & (shiftleft(1L, {bits}) - 1L))")
+    return keyed.groupBy("place", slot.alias("slot")).agg(
+        F.count("*").alias("rows"), F.min("value").alias("low"), F.max("value").alias("high")
+    )
 
 
 def exact_quantiles(df: DataFrame, wanted: Mapping[str, Probabilities]) -> dict[str, list[float]]:
@@ -140,8 +119,8 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, Probabilities]) -> dict[
     pass over all columns: it splits every range that holds a wanted rank and more
     than one value into parts of equal key width and counts their rows. The number of
     rounds depends on the digits of the values, not on their number or distribution:
-    four to ten at most, two to four for usual columns. A task holds, and a round
-    brings back, at most ``RANGES`` rows per column (16 for each wanted rank if that is more).
+    four to ten at most, two to four for usual columns. A round counts, and brings
+    back, at most ``RANGES`` ranges per column (16 for each wanted rank if that is more).
 
     Nulls and NaN are left out; a column without values gives NaN. A value that a
     third of all rows share is one part, found in the round that isolates it. ``df``
@@ -151,7 +130,7 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, Probabilities]) -> dict[
     rows = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(wanted)])
     active = searches
     while active:
-        counted = _count_parts(rows.select(*active), active)
+        counted = _count_parts(rows.select(*active), active).toPandas()
         for place, search in enumerate(active.values()):
             search.narrow(counted[counted["place"] == place])
         active = {c: s for c, s in active.items() if s.open}
