@@ -400,7 +400,7 @@ def phrase(spark, folder):
     from pulse.operators.similarity import with_similarity
 
     rows = a.articles(spark, folder).select("doc_id", "headline")
-    encoder = HashingEncoder.fit(rows, "headline", 256)
+    encoder = HashingEncoder.fit(rows, "headline", 1024)
     seed = as_array(embed_phrase(spark, "the quality of the report", encoder))
     scored = with_similarity(as_array(encoder.transform(rows, "headline")), seed)
     return scored.select("doc_id", r6("similarity").alias("similarity"))

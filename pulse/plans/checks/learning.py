@@ -112,9 +112,9 @@ _NUMERIC += [f"{c}_{k}word_count" for c in features.TEXTS for k in ("", "non_sto
 _NUMERIC += [f"{c}_{k}" for c in features.TEXTS for k in ("sentiment", "subjectivity")]
 
 
-def _embedded(spark, folder, size=128):
+def _embedded(spark, folder):
     rows = a.articles(spark, folder).select("doc_id", "headline", "article_theme", "facebook_interactions")
-    encoder = models.HashingEncoder.fit(rows, "headline", size)
+    encoder = models.HashingEncoder.fit(rows, "headline", _WIDTH)
     return models.embed(rows, "headline", encoder)
 
 
@@ -126,7 +126,7 @@ def embed(spark, folder):
 
 @check("x06_suggest_labels")
 def suggest_labels(spark, folder):
-    rows = _embedded(spark, folder, _WIDTH).join(
+    rows = _embedded(spark, folder).join(
         a.labels(spark, folder).select(F.regexp_extract("link", r"\d+", 0).cast("long").alias("doc_id"), "themes", "indexes"),
         "doc_id",
         "left",
@@ -142,7 +142,7 @@ def suggest_labels(spark, folder):
 
 @check("x07_train_labels")
 def train_labels(spark, folder):
-    rows = settle(_embedded(spark, folder, _WIDTH).select("doc_id", "vector", F.col("article_theme").alias("label")))
+    rows = settle(_embedded(spark, folder).select("doc_id", "vector", F.col("article_theme").alias("label")))
     split = models.stratified_split(rows, "label", "doc_id")
     model = models.train_labels(split.where("split = 'train'"))
     ranked = models.ranked_labels(split.where("split = 'test'"), model)
@@ -237,7 +237,7 @@ def fusion_classifier(spark, folder):
     known = a.predictions(spark, folder).select("doc_id", "label")
     made = jobs.engineer_features(a.articles(spark, folder), "doc_id", a.lexicon(spark, folder), ["doc_id"])
     made = made.select("doc_id", *[F.col(c).cast("double").alias(c) for c in _NUMERIC])
-    rows = _embedded(spark, folder, _WIDTH).drop(*_NUMERIC).join(known, "doc_id").join(made, "doc_id")
+    rows = _embedded(spark, folder).drop(*_NUMERIC).join(known, "doc_id").join(made, "doc_id")
     split = models.stratified_split(settle(rows), "label", "doc_id", 0.2, 0.2)
     scaled = scaling.MinMaxModel.fit(split.where("split = 'train'"), _NUMERIC).transform(split)
     model = models.fusion_classifier(scaled.where("split = 'train'"), _NUMERIC)

@@ -339,12 +339,12 @@ def histogram(spark, folder):
     + """, s AS (SELECT count(*) AS n, min(facebook_interactions) AS lo, max(facebook_interactions) AS hi,
   stddev_samp(facebook_interactions) * power(count(*), -0.2) AS h FROM snaps),
 w AS (SELECT facebook_interactions AS v, count(*) AS c FROM snaps GROUP BY 1),
-g AS (SELECT lo + i * (hi - lo) / 49 AS x FROM s, (SELECT unnest(range(0, 50)) AS i))
+g AS (SELECT lo + i * (hi - lo) / 199 AS x FROM s, (SELECT unnest(range(0, 200)) AS i))
 SELECT round(x, 6) AS x, round(1000000 * sum(c * exp(-power((x - v) / h, 2) / 2)) / (max(n) * max(h) * sqrt(2 * pi())), 6) AS density
 FROM g CROSS JOIN w CROSS JOIN s GROUP BY x""",
 )
 def density(spark, folder):
-    rows = ranking.density(a.snapshots(spark, folder), "facebook_interactions", 50)
+    rows = ranking.density(a.snapshots(spark, folder), "facebook_interactions")
     return rows.select(r6("x").alias("x"), r6(F.col("density") * 1000000).alias("density"))
 
 
