@@ -18,8 +18,12 @@ from pyspark.sql import types as T
 from pulse.functions import text, values
 from pulse.operators import multilabel
 from pulse.operators.mutate import union_all
-from pulse.operators.ordered import HOT_ROWS, with_fill, with_row_number
+from pulse.operators.ordered import HELPER_ROWS, HOT_ROWS, broadcast_if_small, with_fill, with_row_number, with_running_total
 from pulse.operators.ranking import drop_last, keep_large_groups, with_position
+from pulse.session import settle
+
+# Columns that can be hashed and compared natively.
+_PLAIN = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 @dataclass(frozen=True)
@@ -151,19 +155,47 @@ def stratified_split(
     Rows are ordered by a hash of their key and the seed, so the split depends
     neither on partitions nor on the order of the input. The validation share is
     taken of the rows left after the test split.
+
+    Only strata and keys are shuffled and ordered; they give the last key of each split
+    per stratum, and every row compares its own key with these where it lies. A key that
+    repeats across the end of a split has its rows numbered, and no others.
     """
     hashed = df.withColumn("_hash", F.xxhash64(F.col(key), F.lit(seed)))
-    numbered = with_row_number(hashed, [strata], ["_hash", key], "_place", hot_rows)
-    sizes = df.groupBy(strata).agg(F.count("*").alias("_rows"))
-    joined = numbered.join(sizes.withColumnRenamed(strata, "_stratum"), F.col(strata).eqNullSafe(F.col("_stratum")))
+    at = F.struct(F.col("_hash").alias("hash"), F.col(key).isNull().alias("none"), F.col(key).alias("key"))
+    keys = hashed.groupBy(strata, "_hash", key).agg(F.count("*").alias("_same"))
+    counted = with_running_total(keys, [strata], ["_hash", key], "_same", "_until", hot_rows)
+    sizes = df.groupBy(strata).agg(F.count("*").alias("_rows")).withColumnRenamed(strata, "_stratum")
     in_test = F.round(F.col("_rows") * F.lit(test))
     in_validation = F.round((F.col("_rows") - in_test) * F.lit(validation))
-    split = (
-        F.when(F.col("_place") <= in_test, "test")
-        .when(F.col("_place") <= in_test + in_validation, "validation")
-        .otherwise("train")
+    counted = counted.join(sizes, F.col(strata).eqNullSafe(F.col("_stratum")))
+    counted = counted.select("_stratum", at.alias("_at"), (F.col("_until") - F.col("_same")).alias("_before"), "_until",
+                             in_test.alias("_test"), (in_test + in_validation).alias("_end"))
+    torn = [(F.col("_before") < F.col(c)) & (F.col(c) < F.col("_until")) for c in ("_test", "_end")]
+    ends = counted.groupBy("_stratum").agg(
+        F.max(F.when(F.col("_until") <= F.col("_test"), F.col("_at"))).alias("_last_test"),
+        F.max(F.when(F.col("_until") <= F.col("_end"), F.col("_at"))).alias("_last"),
+        # At most two keys.
+        F.collect_list(F.when(torn[0] | torn[1], F.struct("_at", "_before"))).alias("_torn"),
+        F.first("_test").alias("_test"),
+        F.first("_end").alias("_end"),
     )
-    return joined.withColumn("split", split).drop("_hash", "_place", "_rows", "_stratum")
+    ends = settle(ends)
+    joined = hashed.join(broadcast_if_small(ends, HELPER_ROWS), F.col(strata).eqNullSafe(F.col("_stratum")))
+    split = F.when(at <= F.col("_last_test"), "test").when(at <= F.col("_last"), "validation").otherwise("train")
+    if ends.where(F.size("_torn") > 0).isEmpty():
+        done = joined.withColumn("split", split)
+    else:
+        own = F.filter("_torn", lambda x: x["_at"] == at)
+        whole = joined.where(F.size(own) == 0).withColumn("split", split)
+        parted = joined.where(F.size(own) > 0).withColumn("_before", own[0]["_before"])
+        # Rows of one key are told apart by their plain columns.
+        plain = [f.name for f in df.schema if isinstance(f.dataType, _PLAIN)]
+        mixed = parted.withColumn("_mix", F.xxhash64(F.lit(seed), *plain))
+        numbered = with_row_number(mixed, [strata, "_hash", key], ["_mix"], "_place", hot_rows)
+        place = F.col("_before") + F.col("_place")
+        by_place = F.when(place <= F.col("_test"), "test").when(place <= F.col("_end"), "validation").otherwise("train")
+        done = whole.unionByName(numbered.withColumn("split", by_place).drop("_before", "_mix", "_place"))
+    return done.drop("_hash", "_stratum", "_last_test", "_last", "_torn", "_test", "_end")
 
 
 def class_codes(df: DataFrame, label: str, output: str = "label_class") -> DataFrame:

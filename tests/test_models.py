@@ -135,6 +135,23 @@ def test_split_is_stable_and_whole(spark):
     assert sorted(map(tuple, first.collect())) != sorted(map(tuple, other.collect()))
 
 
+def test_split_cuts_through_repeated_keys(spark):
+    """Keys that repeat, null ones included, are split to the row, in any number of slices."""
+    table = [(None if i < 40 else i // 7, "a" if i % 3 else None, str(i)) for i in range(200)]
+    rows = spark.createDataFrame(table, "id long, s string, t string")
+    first = models.stratified_split(rows, "s", "id", 0.2, 0.25)
+    again = models.stratified_split(rows.repartition(7), "s", "id", 0.2, 0.25, hot_rows=10)
+    key = lambda r: tuple(str(v) for v in r)
+    assert first.columns == ["id", "s", "t", "split"]
+    assert sorted(map(tuple, first.collect()), key=key) == sorted(map(tuple, again.collect()), key=key)
+    sizes = {(r["s"], r["split"]): r["count"] for r in first.groupBy("s", "split").count().collect()}
+    for name in ("a", None):
+        n = sum(s == name for _, s, _ in table)
+        test = int(n * 0.2 + 0.5)
+        assert (sizes[name, "test"], sizes[name, "validation"]) == (test, int((n - test) * 0.25 + 0.5))
+    assert sorted(r["t"] for r in first.collect()) == sorted(t for _, _, t in table)
+
+
 def test_labels_are_learned(spark):
     table = [(i, "good fine day" if i % 2 else "bad rain storm", [["sun"], ["wet"]][i % 2 == 0]) for i in range(40)]
     rows = spark.createDataFrame(table, "id long, headline string, themes array<string>")

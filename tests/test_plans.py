@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulse import session
-from pulse.operators import articles, features, mutate, ranking, snapshots
+from pulse.operators import articles, features, models, mutate, ranking, snapshots
 from pulse.operators.ordered import paged_lists
 from pulse.plans.checks import adapters
 from pulse.sources import files, sinks
@@ -123,3 +123,9 @@ def test_pages_bound_a_group(spark):
 def test_shared_folder_is_read_from_the_session(spark):
     assert session.checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
     assert session.scratch_path(spark, "x").startswith(session.checkpoint_dir(spark))
+
+
+def test_splits_move_keys_only(spark, data):
+    rows = adapters.news(spark, data).select("facebook_link", "domain", "headline")
+    text = plan(models.stratified_split(rows, "domain", "facebook_link"))
+    assert "Exchange hashpartitioning" not in text and "Window" not in text  # the ends are broadcast
