@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,14 +53,18 @@ def engineer_features(
 ) -> DataFrame:
     """Features of unique articles; rows with a null in any column are left out.
 
-    The gap to the previous article of the index is taken before any domain filter.
+    The gap to the previous article of the index is taken before any domain filter. Words are counted and texts
+    checked for nulls before rows are ordered, so texts that the caller does not select stay out of that shuffle.
     """
     joined = df.withColumn("text", text.join_text(F.col("headline"), F.col("summary")))
-    timed = features.timing_features(features.hours_since_previous(joined, "article_index", ties, hot_rows))
-    counted = features.word_features(timed)
+    whole = reduce(and_, [F.col(c).isNotNull() for c in features.TEXTS])
+    counted = features.word_features(joined).withColumn("_whole", whole)
+    timed = features.timing_features(features.hours_since_previous(counted, "article_index", ties, hot_rows))
     if lexicon is not None:
-        counted = features.lexicon_scores(counted, key, features.TEXTS, lexicon)
-    return counted.dropna()
+        timed = features.lexicon_scores(timed, key, features.TEXTS, lexicon)
+    columns = dict.fromkeys([*joined.columns, "hours_since_published", "day_of_week_published", "hour_of_day_published", *timed.columns])
+    checked = [c for c in columns if c not in (*features.TEXTS, "_whole")]
+    return timed.select(*columns).where("_whole").dropna(subset=checked).drop("_whole")
 
 
 def prepare_articles(

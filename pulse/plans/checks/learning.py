@@ -238,7 +238,8 @@ def fusion_classifier(spark, folder):
     made = jobs.engineer_features(a.articles(spark, folder), "doc_id", a.lexicon(spark, folder), ["doc_id"])
     made = made.select("doc_id", *[F.col(c).cast("double").alias(c) for c in _NUMERIC])
     rows = _embedded(spark, folder).drop(*_NUMERIC).join(known, "doc_id").join(made, "doc_id")
-    split = models.stratified_split(settle(rows), "label", "doc_id", 0.2, 0.2)
+    rows = settle(rows.select("doc_id", "label", "vector", *_NUMERIC))
+    split = models.stratified_split(rows, "label", "doc_id", 0.2, 0.2)
     scaled = scaling.MinMaxModel.fit(split.where("split = 'train'"), _NUMERIC).transform(split)
     model = models.fusion_classifier(scaled.where("split = 'train'"), _NUMERIC)
     return model.transform(scaled.where("split = 'test'")).select("doc_id", "label", "pred_y")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pulse import session
 from pulse.operators import articles, features, models, mutate, ranking, snapshots
 from pulse.operators.ordered import paged_lists
+from pulse.plans import articles as jobs
 from pulse.plans.checks import adapters
 from pulse.sources import files, sinks
 
@@ -129,3 +130,21 @@ def test_splits_move_keys_only(spark, data):
     rows = adapters.news(spark, data).select("facebook_link", "domain", "headline")
     text = plan(models.stratified_split(rows, "domain", "facebook_link"))
     assert "Exchange hashpartitioning" not in text and "Window" not in text  # the ends are broadcast
+
+
+def test_numeric_features_order_no_texts(spark, data):
+    rows = jobs.engineer_features(adapters.articles(spark, data), "doc_id", adapters.lexicon(spark, data), ["doc_id"])
+    numbers = [c for c in rows.columns if c.endswith(("word_count", "sentiment", "published")) and c != "published"]
+    frame = rows.select("doc_id", *numbers)
+    tree = frame._jdf.queryExecution().optimizedPlan()
+    windows = [node for node in _nodes(tree) if node.nodeName() == "Window"]
+    assert len(windows) == 1
+    assert not {"headline", "summary", "text"} & {a.name() for a in _items(windows[0].output())}
+
+
+def _items(seq):
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _nodes(tree):
+    return [tree, *[n for child in _items(tree.children()) for n in _nodes(child)]]
