@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pulse import schemas
 from pulse.functions import text
 from pulse.operators.ordered import broadcast_if_small, first_per_group
-
+from pulse.session import settle
 
 
 # Most rows of a batch whose keys every task may hold: about 100 MB.
@@ -47,24 +47,59 @@ def upsert_new_scans(target: DataFrame, batch: DataFrame, batch_rows: int = BATC
 
 
 def _merge(target: DataFrame, batch: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """Stored rows that no batch row replaces, and the best batch row of every other key.
+
+    Keys and counts decide; they are brought together first, once. Whole rows are only filtered
+    by broadcasts of checked size, whatever the batch: shuffled are rows of keys that the batch repeats, and stored
+    or batch rows only where neither side of a decision is small.
+    """
     columns = schemas.NEWS_DATA.names
-    # With several new files the later name must win a tie before the time does.
-    best = first_per_group(
-        batch.select(*columns), ["facebook_link"], ["-facebook_interactions", "-source", "-published", "link"]
-    )
-    # Only keys and counts of the batch meet the stored rows, so a batch of checked
-    # size is broadcast and the stored table is not shuffled.
-    counts = best.select("facebook_link", F.col("facebook_interactions").alias("_new"))
-    counts = broadcast_if_small(counts, batch_rows)
-    stored = target.select(*columns)
-    kept = stored.join(counts, "facebook_link", "left").where(
-        F.col("_new").isNull() | (F.col("facebook_interactions") > F.col("_new"))
-    )
-    beaten = stored.join(counts, "facebook_link").where(F.col("facebook_interactions") > F.col("_new"))
-    fresh = best.join(beaten.select("facebook_link"), "facebook_link", "left_anti")
+    batch, stored = batch.select(*columns), target.select(*columns)
+    seen = F.max("facebook_interactions").alias("_new")
+    keys = settle(batch.groupBy("facebook_link").agg(F.count("*").alias("_rows"), seen))
+    best = _best(batch, keys.where("_rows > 1").select("facebook_link"), batch_rows)
+    counts = keys.select("facebook_link", "_new")
+    stays = F.col("_new").isNull() | (F.col("facebook_interactions") > F.col("_new"))
+    if _few(counts, batch_rows):
+        counts = F.broadcast(counts)
+        kept = stored.join(counts, "facebook_link", "left").where(stays)
+        beaten = stored.join(counts, "facebook_link").where(F.col("facebook_interactions") > F.col("_new"))
+        # No more keys than the batch has.
+        beaten = F.broadcast(beaten.select("facebook_link").distinct())
+    else:
+        marks = stored.select("facebook_link", "facebook_interactions").join(counts, "facebook_link", "left")
+        marks = settle(marks.select("facebook_link", "_new", F.coalesce(stays, F.lit(False)).alias("_stays")).distinct())
+        gone, held = (marks.where(c).select("facebook_link", "_new") for c in ("not _stays", "_stays and facebook_link is not null"))
+        if _few(gone, batch_rows):
+            kept = stored.join(F.broadcast(gone), "facebook_link", "left").where(stays)
+        elif _few(held, batch_rows):
+            kept = stored.join(F.broadcast(held), "facebook_link").where(stays).select(*columns)
+            kept = kept.unionByName(stored.where(F.col("facebook_link").isNull()))
+        else:
+            kept = stored.join(counts, "facebook_link", "left").where(stays)
+        beaten = broadcast_if_small(held.where("_new is not null").select("facebook_link"), batch_rows)
+    fresh = best.join(beaten, "facebook_link", "left_anti")
     return kept.select(*columns).unionByName(fresh.select(*columns))
 
 
+def _best(batch: DataFrame, repeated: DataFrame, batch_rows: int) -> DataFrame:
+    """The best row of every key; only rows of ``repeated`` keys need a comparison."""
+    # With several new files the later name must win a tie before the time does.
+    order = ["-facebook_interactions", "-source", "-published", "link"]
+    if repeated.isEmpty():
+        return batch
+    if not _few(repeated, batch_rows):
+        return first_per_group(batch, ["facebook_link"], order)
+    again = F.broadcast(repeated.withColumnRenamed("facebook_link", "_again"))
+    same = F.col("facebook_link").eqNullSafe(F.col("_again"))
+    once, more = batch.join(again, same, "left_anti"), batch.join(again, same, "left_semi")
+    return once.unionByName(first_per_group(more, ["facebook_link"], order))
+
+
+def _few(rows: DataFrame, bound: int) -> bool:
+    return rows.limit(bound + 1).count() <= bound
+
+
 def replace_by_key(
     target: DataFrame, batch: DataFrame, key: str = "facebook_link", batch_rows: int = BATCH_ROWS
 ) -> DataFrame:

@@ -6,6 +6,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from pulse import schemas
 from pulse.operators import mutate
@@ -52,6 +53,24 @@ def test_files_one_by_one(spark, seed, batch_rows):
         assert state(table) == as_state(stored)
 
 
+@pytest.mark.parametrize("batch_rows", [1000, 8, 5, 1])
+def test_any_bound_merges_alike(spark, batch_rows):
+    """Stored and batch keys that repeat or are null, with bounds that take every way of the merge."""
+    chance = random.Random(5)
+    pick = lambda n, name: [(chance.choice([None, *range(9)]), chance.randrange(4), name) for _ in range(n)]
+    keyed = lambda rows: frame(spark, rows).withColumn("facebook_link", F.expr("nullif(facebook_link, 'fbNone')"))
+    for held, new in ((pick(20, "a"), pick(12, "b")), (pick(20, "a"), [(k, 9, "b") for k in range(9)]), (pick(9, "a"), [(k, -1, "b") for k in range(9)])):
+        done = mutate.upsert_new_scans(keyed(held), keyed(new), batch_rows)
+        best: dict = {}
+        for key, count, _ in new:
+            best[key] = max(count, best.get(key, count))
+        kept = [r for r in held if r[0] is None or r[0] not in best or r[1] > best[r[0]]]
+        beaten = {r[0] for r in held if r[0] in best and r[1] > best[r[0]]} - {None}
+        wanted = kept + [(k, c, "b") for k, c in best.items() if k not in beaten]
+        found = [(r["facebook_link"] or "fbNone", r["facebook_interactions"], r["source"]) for r in done.collect()]
+        assert sorted(found) == sorted((f"fb{k}", c, s) for k, c, s in wanted)
+
+
 def test_loading_twice_changes_nothing(spark):
     target = frame(spark, [(1, 5, "a"), (2, 9, "a")])
     batch = frame(spark, [(1, 5, "b"), (2, 3, "b"), (3, 1, "b"), (3, 4, "b")]).drop("source")

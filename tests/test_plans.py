@@ -73,6 +73,16 @@ def test_upsert_does_not_shuffle_the_stored_table(stored):
     assert not re.search(r"Exchange hashpartitioning[^\n]*\n[^\n]*\n[^\n]*FileScan[^\n]*headline", text)
 
 
+def test_large_upsert_moves_keys_only(spark, stored):
+    batch = stored[0].withColumn("source", F.lit("new"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(mutate.upsert_new_scans(stored[0], batch, 50))
+        assert "SortMergeJoin" not in text and "Window" not in text and "Exchange hashpartitioning" not in text
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_bucketed_tables_join_without_a_shuffle(spark, stored, tmp_path):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
