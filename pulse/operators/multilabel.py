@@ -15,9 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulse.session import settle
+
 #: Most numbers in the weight matrix, 400 MB with the history of the fit.
 LARGEST = 2_500_000
 HISTORY, TOLERANCE = 8, 1e-6
+#: Rows in a block of features, 6 MB for 2,048 of them.
+BLOCK = 256
 
 
 def _summed(parts: DataFrame, labels: int) -> np.ndarray:
@@ -46,19 +50,43 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _passes(rows: DataFrame, each, labels: int) -> np.ndarray:
-    """``each`` gives one array per label for a batch; their sums over all rows."""
+def _packed(rows: DataFrame, labels: int) -> DataFrame:
+    """Rows in blocks of numbers that are not zero, written once: every pass reads these and no arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                x, y = _matrix(part.column(0)), _marks(part, labels)
+                places = np.flatnonzero(x)
+                columns = [pa.array([len(x)], pa.int32()), pa.array([x.shape[1]], pa.int32())]
+                columns += [pa.array([v.tobytes()], pa.binary()) for v in (places.astype("<u4"), x.ravel()[places], y.astype("u1"))]
+                yield pa.RecordBatch.from_arrays(columns, names=["n", "width", "places", "numbers", "marks"])
+
+    return settle(rows.mapInArrow(run, "n int, width int, places binary, numbers binary, marks binary"))
+
+
+def _blocks(batch: pa.RecordBatch, labels: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features and marks of each block."""
+    for n, width, places, numbers, marks in zip(*batch.columns):
+        x = np.zeros((n.as_py(), width.as_py()))
+        x.ravel()[np.frombuffer(places.as_buffer(), "<u4")] = np.frombuffer(numbers.as_buffer(), "<f8")
+        yield x, np.frombuffer(marks.as_buffer(), "u1").reshape(len(x), labels).astype(float)
+
+
+def _passes(blocks: DataFrame, each, labels: int) -> np.ndarray:
+    """``each`` gives one array per label for features and marks of a block; their sums over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            for at in range(0, batch.num_rows, 1_024):
-                part = each(batch.slice(at, 1_024))
+            for x, y in _blocks(batch, labels):
+                part = each(x, y)
                 total = part if total is None else total + part
         if total is not None:
             yield _rows(list(range(len(total))), list(total))
 
-    return _summed(rows.mapInArrow(run, "label int, sums array<double>"), labels)
+    return _summed(blocks.mapInArrow(run, "label int, sums array<double>"), labels)
 
 
 def _marks(batch: pa.RecordBatch, labels: int) -> np.ndarray:
@@ -82,10 +110,9 @@ def fit(df: DataFrame, labels: str, names: list[str], vector: str, rounds: int,
     listed = F.coalesce(F.col(labels), F.array().cast("array<string>"))
     number = F.transform(listed, lambda x: F.array_position(F.lit(list(names)), x).cast("int") - 1)
     marks = F.array_distinct(F.filter(number, lambda x: x >= 0))
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(vector).alias("vector"), marks.alias("marks"))
+    rows = _packed(df.where(F.col(vector).isNotNull()).select(F.col(vector).alias("vector"), marks.alias("marks")), count)
 
-    def moments(batch: pa.RecordBatch) -> np.ndarray:
-        x, y = _matrix(batch.column(0)), _marks(batch, count)
+    def moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         seen = np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)])
         return np.column_stack([y.sum(0), np.tile(seen, (count, 1))])
 
@@ -106,13 +133,12 @@ def fit(df: DataFrame, labels: str, names: list[str], vector: str, rounds: int,
     def evaluate(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         shared = df.sparkSession.sparkContext.broadcast(w)
 
-        def each(batch: pa.RecordBatch) -> np.ndarray:
+        def each(x: np.ndarray, y: np.ndarray) -> np.ndarray:
             w = shared.value
-            x, y = _matrix(batch.column(0)) * scale, _marks(batch, len(w))
-            z = x @ w[:, :-1].T + w[:, -1]
+            z = x @ (w[:, :-1] * scale).T + w[:, -1]
             apart = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
             loss = (np.logaddexp(0, z) - y * z).sum(0)
-            return np.column_stack([loss, apart.T @ x, apart.sum(0)])
+            return np.column_stack([loss, apart.T @ x * scale, apart.sum(0)])
 
         sums = _passes(rows, each, count) / n
         shared.destroy()

@@ -92,3 +92,15 @@ def test_models_come_back_in_another_session(spark, labelled, tmp_path):
         other = persist.load(spark.newSession(), str(tmp_path / name))
         assert type(other) is type(model)
         assert sorted(map(str, use(other).collect())) == sorted(map(str, use(model).collect())), name
+
+
+def test_fit_reads_blocks_without_zeros(spark):
+    """Passes read the numbers that are not zero, once packed, and get the same features and marks from them."""
+    table = [([0.0] * 40 + [float(i), 0.0], [i % 2] if i % 3 else []) for i in range(300)]
+    rows = spark.createDataFrame(table, "vector array<double>, marks array<int>").coalesce(1)
+    blocks = multilabel._packed(rows, 2)
+    assert blocks.count() == 2
+    assert blocks.selectExpr("sum(length(numbers))").first()[0] == 8 * 299
+    pairs = [pair for batch in blocks.toArrow().to_batches() for pair in multilabel._blocks(batch, 2)]
+    assert np.concatenate([x for x, _ in pairs]).tolist() == [v for v, _ in table]
+    assert np.concatenate([y for _, y in pairs]).tolist() == [[float(k in m) for k in (0, 1)] for _, m in table]
