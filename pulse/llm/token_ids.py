@@ -34,9 +34,13 @@ SLOT = np.dtype([("print", "<u4"), ("start", "<u8"), ("count", "<u4")])
 Key = tuple[object, int]
 
 
-def _hash(key: Key, seed: int) -> int:
+def _name(key: Key) -> bytes:
     value, number = key
-    return xxhash.xxh64_intdigest(f"{number} {type(value).__name__} {value}".encode(), seed)
+    return f"{number} {type(value).__name__} {value}".encode()
+
+
+def _hash(name: bytes, seed: int) -> int:
+    return xxhash.xxh64_intdigest(name, seed)
 
 
 def numbered(values: list) -> list[Key]:
@@ -54,20 +58,22 @@ def build(keys: list[Key]) -> tuple[np.ndarray, list[int]]:
     if len(set(keys)) < len(keys):
         raise ValueError("keys repeat")
     n, m = len(keys), max(1, -(-len(keys) // BUCKET))
-    buckets: list[list[int]] = [[] for _ in range(m)]
-    for at, key in enumerate(keys):
-        buckets[_hash(key, 0) % m].append(at)
+    names, buckets = [_name(key) for key in keys], [[] for _ in range(m)]
+    for at, name in enumerate(names):
+        buckets[_hash(name, 0) % m].append(at)
     seeds, slots, taken = np.zeros(m, "<u4"), [0] * n, bytearray(n)
     for b in sorted(range(m), key=lambda b: -len(buckets[b])):
-        seed = 1
-        while buckets[b]:
-            places = [_hash(keys[at], seed) % n for at in buckets[b]]
-            if len(set(places)) == len(places) and not any(taken[p] for p in places):
-                for at, place in zip(buckets[b], places):
-                    slots[at], taken[place] = place, 1
-                seeds[b] = seed
-                break
-            seed += 1
+        held, seed, places = [names[at] for at in buckets[b]], 0, []
+        while len(places) < len(held):
+            seed, places = seed + 1, []
+            for name in held:
+                place = _hash(name, seed) % n
+                if taken[place] or place in places:  # no need to place the others
+                    break
+                places.append(place)
+        for at, place in zip(buckets[b], places):
+            slots[at], taken[place] = place, 1
+        seeds[b] = seed
     return seeds, slots
 
 
@@ -75,8 +81,9 @@ def lookup(key: Key, seeds: np.ndarray, slots: np.ndarray) -> tuple[int, int] |
     """Start and count of the key's ids in its shard, or None."""
     if not len(slots):
         return None
-    slot = slots[_hash(key, int(seeds[_hash(key, 0) % len(seeds)])) % len(slots)]
-    return (int(slot["start"]), int(slot["count"])) if slot["print"] == _hash(key, 1 << 40) & 0xFFFFFFFF else None
+    name = _name(key)
+    slot = slots[_hash(name, int(seeds[_hash(name, 0) % len(seeds)])) % len(slots)]
+    return (int(slot["start"]), int(slot["count"])) if slot["print"] == _hash(name, 1 << 40) & 0xFFFFFFFF else None
 
 
 def _file(kind: str) -> str:
@@ -98,7 +105,7 @@ def write(docs: DataFrame, folder: str, text: str = "text", doc_id: str = "doc_i
     end = byte_bpe.packed([END])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = byte_bpe.codec(name).encode, TaskContext.get().partitionId()
+        encode_all, part = byte_bpe.codec(name).encode_all, TaskContext.get().partitionId()
         values, payload, size, number = [], [], 0, 0
 
         def shard(kinds: pa.DataType):
@@ -106,7 +113,7 @@ def write(docs: DataFrame, folder: str, text: str = "text", doc_id: str = "doc_i
             seeds, places = build(keys)
             slots, start = np.zeros(len(keys), SLOT), 0
             for key, place, raw in zip(keys, places, payload):
-                slots[place] = (_hash(key, 1 << 40) & 0xFFFFFFFF, start, len(raw) // 4)
+                slots[place] = (_hash(_name(key), 1 << 40) & 0xFFFFFFFF, start, len(raw) // 4)
                 start += len(raw) // 4
             row = {"part": [part], "number": [number], "first": values[:1], "last": values[-1:], "total": [start], "keys": [values]}
             row |= {"seeds": [seeds.tobytes()], "slots": [slots.tobytes()], "ids": [b"".join(payload)]}
@@ -116,15 +123,13 @@ def write(docs: DataFrame, folder: str, text: str = "text", doc_id: str = "doc_i
         kinds = None
         for batch in batches:
             kinds = batch.column(0).type
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                for value, whole in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-                    raw = encode(whole) + end
-                    if values and size + len(raw) > SHARD_BYTES:
-                        yield shard(kinds)
-                        values, payload, size, number = [], [], 0, number + 1
-                    values.append(value), payload.append(raw)
-                    size += len(raw)
+            for value, ids in zip(batch.column(0).to_pylist(), encode_all(batch.column(1))):
+                raw = ids + end
+                if values and size + len(raw) > SHARD_BYTES:
+                    yield shard(kinds)
+                    values, payload, size, number = [], [], 0, number + 1
+                values.append(value), payload.append(raw)
+                size += len(raw)
         if values:
             yield shard(kinds)
 

@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import oracle
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -217,6 +218,44 @@ def test_token_ids_of_any_key(spark, tmp_path, monkeypatch, kind):
     assert Counter((r.doc_id, bytes(r.ids)) for r in found) == plain
 
 
+def test_hash_index_takes_few_hashes_per_key(monkeypatch):
+    """A seed is given up at its first taken slot; all keys of a bucket were placed for every seed before."""
+    from types import SimpleNamespace
+
+    calls, plain = [0], token_ids.xxhash.xxh64_intdigest
+
+    def counted(*args):
+        calls[0] += 1
+        return plain(*args)
+
+    monkeypatch.setattr(token_ids, "xxhash", SimpleNamespace(xxh64_intdigest=counted))
+    keys = token_ids.numbered(list(range(20_000)))
+    seeds, slots = token_ids.build(keys)
+    assert sorted(slots) == list(range(20_000)) and calls[0] < 80 * len(keys)
+
+
+@pytest.mark.parametrize("size", [1, 100, 4 << 20])
+def test_bpe_of_a_column_equals_the_library(monkeypatch, size):
+    """Cuts by bytes are those of the library, next to any blank or sign, across texts and parts of a column."""
+    monkeypatch.setattr(byte_bpe, "PART", size)
+    rnd, bpe = random.Random(3), byte_bpe.ByteBpe(byte_bpe.default_path())
+    parts = ["a", "Bc", " the", "é", "漢", "²", "५", "Ⅷ", "1", "_", "'s", "'", "(", ")", '"', *".,;:!?", *"      ", "\n", "\t", "\x1c"]
+    parts += ["\x85", "\xa0", "\u1680", "\u2003", "\u205f", "\u3000", "\u200b", "’", "、", "\u0301", ", ", ".\n"]
+    texts = [None, "", "", *("".join(rnd.choices(parts, k=rnd.randint(0, 30))) for _ in range(3_000)), "", None, " " * 50, "word" * 20, "x" * 3_000]
+    for more in (texts, [*texts[:50], "a<|endoftext|> b"], [None], []):
+        _, want = brute_ids(more)
+        column = pa.array(["left out", *more, "left out"], pa.string()).slice(1, len(more))
+        assert [np.frombuffer(x, "<u4").tolist() for x in bpe.encode_all(column)] == want
+
+
+def test_token_ids_look_up_each_word_of_a_column_once(monkeypatch):
+    """A word that comes again, with a sign or without, is no new lookup."""
+    bpe, asked = byte_bpe.ByteBpe(byte_bpe.default_path()), []
+    monkeypatch.setattr(bpe, "_word", lambda w, plain=bpe._word: asked.append(w) or plain(w))
+    list(bpe.encode_all(pa.array([f"so wordy wordy{s} wordy wordy{s}\nso" for s in ".,;:!?"] * 50)))
+    assert sorted(asked) == sorted(["so", " wordy", "\n", *".,;:!?"])
+
+
 def test_token_ids_run_one_python_worker_per_task(spark, data, tmp_path):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     shards = token_ids.write(docs, str(tmp_path / "shards"))
