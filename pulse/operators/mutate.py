@@ -46,6 +46,27 @@ def upsert_new_scans(target: DataFrame, batch: DataFrame, batch_rows: int = BATC
     return _merge(target, batch, batch_rows)
 
 
+def batch_keys(batch: DataFrame) -> DataFrame:
+    """Keys of a batch with their number of rows and most interactions, gathered once."""
+    seen = F.max("facebook_interactions").alias("_new")
+    return settle(batch.groupBy("facebook_link").agg(F.count("*").alias("_rows"), seen))
+
+
+def new_rows(target: DataFrame, batch: DataFrame, keys: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """What ``upsert_new_scans`` puts in: the best row of every key of the batch that no stored row beats.
+
+    ``keys`` are the ``batch_keys``. Of the stored rows only keys and counts are read.
+    """
+    best = _best(batch.select(*schemas.NEWS_DATA.names), keys.where("_rows > 1").select("facebook_link"), batch_rows)
+    stored, counts = target.select("facebook_link", "facebook_interactions"), keys.select("facebook_link", "_new")
+    few = _few(counts, batch_rows)
+    beaten = stored.join(F.broadcast(counts) if few else counts, "facebook_link").where(F.col("facebook_interactions") > F.col("_new"))
+    beaten = beaten.select("facebook_link").distinct()
+    # No more keys than the batch has.
+    beaten = F.broadcast(beaten) if few else broadcast_if_small(settle(beaten), batch_rows)
+    return best.join(beaten, "facebook_link", "left_anti").select(*schemas.NEWS_DATA.names)
+
+
 def _merge(target: DataFrame, batch: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Stored rows that no batch row replaces, and the best batch row of every other key.
 
@@ -55,8 +76,7 @@ def _merge(target: DataFrame, batch: DataFrame, batch_rows: int = BATCH_ROWS) ->
     """
     columns = schemas.NEWS_DATA.names
     batch, stored = batch.select(*columns), target.select(*columns)
-    seen = F.max("facebook_interactions").alias("_new")
-    keys = settle(batch.groupBy("facebook_link").agg(F.count("*").alias("_rows"), seen))
+    keys = batch_keys(batch)
     best = _best(batch, keys.where("_rows > 1").select("facebook_link"), batch_rows)
     counts = keys.select("facebook_link", "_new")
     stays = F.col("_new").isNull() | (F.col("facebook_interactions") > F.col("_new"))

@@ -371,11 +371,9 @@ def ingest_scans(spark, folder):
 
     landing, store, progress = (scratch_path(spark, n) for n in ("landing", "store", "progress"))
     rows = _scan(a.news(spark, folder))
-    sinks.write_csv(rows.withColumn("Total Interactions", F.col("Total Interactions") - 5), landing)
+    sinks.write_csv(rows.withColumn("Total Interactions", F.col("Total Interactions") - 5), landing, compression="gzip")
     ingest.ingest_scans(spark, landing, store, progress).awaitTermination()
-    rows.write.mode("append").option("header", True).option("quoteAll", True).option("escape", '"').option(
-        "ignoreLeadingWhiteSpace", False
-    ).option("ignoreTrailingWhiteSpace", False).csv(landing)
+    sinks.write_csv(rows, landing, mode="append", compression="gzip")
     ingest.ingest_scans(spark, landing, store, progress).awaitTermination()
     return ingest.stored_table(spark, store).select("facebook_link", "published", "facebook_interactions")
 

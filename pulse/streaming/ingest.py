@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from pulse import schemas
-from pulse.operators.mutate import upsert_new_scans, upsert_scan
+from pulse.operators.mutate import batch_keys, new_rows, upsert_new_scans, upsert_scan
 from pulse.sources.files import read_scan_sources
 from pulse.sources.store import Store
 
@@ -25,23 +25,25 @@ _FILE_LISTING = T.StructType(
 def ingest_scans(
     spark: SparkSession, landing: str, store: str, progress: str, files_per_batch: int = 100, buckets: int = 64
 ) -> StreamingQuery:
-    """Load every scan file that arrived in ``landing`` since the last run.
+    """Load every scan file, plain or gzipped, that arrived in ``landing`` since the last run.
 
     The stream carries file names only, so each file is read by header name like any other scan. A batch
-    rewrites the buckets of the stored table that its keys fall into. What was loaded is part of the table's
+    writes its own rows, on top of the buckets of the stored table that its keys fall into. What was loaded is part of the table's
     version: a batch that runs again, or a new progress folder, finds its files there and changes nothing, and a
     file that came again with other content replaces its rows.
     """
     arrivals = (
         spark.readStream.format("binaryFile")
         .schema(_FILE_LISTING)
-        .option("pathGlobFilter", "*.csv")
+        .option("pathGlobFilter", "*.{csv,csv.gz}")
         .option("maxFilesPerTrigger", files_per_batch)
         .load(landing)
         .select("path", F.col("modificationTime").alias("modified"), "length")
     )
 
     def load(batch: DataFrame, number: int) -> None:
+        # Shuffle files go when their job is done, not when the driver happens to collect its garbage. The session is the stream's own.
+        batch.sparkSession.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
         load_files(Store(batch.sparkSession, store, schemas.NEWS_DATA, "facebook_link", buckets), batch)
 
     return (
@@ -64,17 +66,19 @@ def load_files(table: Store, files: DataFrame) -> Store:
     new = sorted(r["path"] for r in listed if not r["again"])
     again = {r["file"]: r["path"] for r in listed if r["again"]}
     spark = table.spark
+    loaded = spark.createDataFrame([(r["file"], r["modified"], r["length"]) for r in listed], "file string, modified timestamp, length long")
     scans = read_scan_sources(spark, sorted(r["path"] for r in listed))
-    changed = set(table.touched(scans))
-    if again:
-        # Rows of an earlier load can lie in other buckets.
-        changed |= set(table.touched(table.read().where(F.col("source").isin(*again))))
+    if not again:
+        keys = batch_keys(scans)
+        changed = table.touched(keys)
+        return table.append(new_rows(table.read(changed), scans, keys), changed, loaded)
+    # Rows of an earlier load can lie in other buckets.
+    changed = set(table.touched(scans)) | set(table.touched(table.read().where(F.col("source").isin(*again))))
     rows = table.read(sorted(changed))
     if new:
         rows = upsert_new_scans(rows, read_scan_sources(spark, new))
     for name in sorted(again):
         rows = upsert_scan(rows, read_scan_sources(spark, [again[name]]).drop("source"), name)
-    loaded = spark.createDataFrame([(r["file"], r["modified"], r["length"]) for r in listed], "file string, modified timestamp, length long")
     return table.commit(rows, sorted(changed), loaded)
 
 

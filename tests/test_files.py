@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
+import random
 import shutil
 
 import pytest
@@ -173,6 +175,66 @@ def test_untouched_buckets_are_neither_read_nor_written(spark, tmp_path):
     assert {f.parts[1] for f in set(bucket_files(store)) - set(before)} == {f"bucket={changed[0]}"}
 
 
+def rows_written(spark, store):
+    """Rows of every version, old ones included."""
+    return spark.read.option("basePath", str(store)).parquet(*[str(p) for p in store.glob("version=*")]).count()
+
+
+def test_a_load_in_batches_writes_each_row_once(spark, tmp_path):
+    landing, store = tmp_path / "landing", tmp_path / "store"
+    landing.mkdir()
+    for n in range(6):
+        scan(landing / f"first{n}.csv", *(line(k, 5) for k in range(n, 60, 6)))
+    assert ingested(spark, tmp_path, files_per_batch=2) == {(f"fb{k}", 5, f"first{k % 6}.csv") for k in range(60)}
+    assert rows_written(spark, store) == 60 and len(list(store.glob("version=*"))) == 3
+    for n in range(6):
+        scan(landing / f"second{n}.csv", *(line(k, 5 - k % 2) for k in range(n, 60, 6)))
+    want = {(f"fb{k}", 5, f"{'first' if k % 2 else 'second'}{k % 6}.csv") for k in range(60)}
+    assert ingested(spark, tmp_path, files_per_batch=2) == want
+    assert rows_written(spark, store) == 90
+    # Batches without a row that goes in write none.
+    scan(landing / "third.csv", *(line(k, 1) for k in range(60)))
+    assert ingested(spark, tmp_path) == want and rows_written(spark, store) == 90
+
+
+def test_layers_stay_few_and_equal_one_table(spark, tmp_path, monkeypatch):
+    """Keys that repeat, are null or lose, more loads than layers, and at the end a file that came again."""
+    monkeypatch.setattr("pulse.sources.store.LAYERS", 3)
+    chance, landing, store = random.Random(3), tmp_path / "landing", tmp_path / "store"
+    landing.mkdir()
+    held, without = {}, []
+    for n in range(11):
+        name, rows = f"{n:02}.csv", [(chance.choice([None, *range(14)]), chance.randrange(9)) for _ in range(chance.choice([3, 12]))]
+        scan(landing / name, *(line(k, c) if k is not None else line("", c).replace(",fb,", ",,") for k, c in rows))
+        os.utime(landing / name, (1_700_000_000 + n, 1_700_000_000 + n))
+        best = {}
+        for key, count in rows:
+            best[key] = max(count, best.get(key, count))
+        if None in best:
+            without.append((None, best.pop(None), name))
+        held |= {k: (c, name) for k, c in best.items() if k not in held or c >= held[k][0]}
+    rows = ingested(spark, tmp_path, files_per_batch=1)
+    assert rows == {(f"fb{k}", c, name) for k, (c, name) in held.items()} | set(without)
+    assert ingest.stored_table(spark, str(store)).count() == len(held) + len(without)
+    table = Store(spark, str(store), schemas.NEWS_DATA, "facebook_link")
+    assert table.version == 10 and max(map(len, table.held_by.values())) <= 2 + 2 + 2
+    assert any(len(layers) > 1 for layers in table.held_by.values()) and max(step for layers in table.held_by.values() for _, step in layers) >= 1
+    scan(landing / "03.csv", line(20, 1))
+    wanted = {r for r in rows if r[2] != "03.csv"} | {("fb20", 1, "03.csv")}
+    assert ingested(spark, tmp_path, "fresh") == wanted
+
+
+def test_gzipped_scans_are_loaded(spark, tmp_path):
+    landing = tmp_path / "landing"
+    rows = spark.createDataFrame([("x.com", "2024-01-01 00:00:00", 'h "1"\n2', " s ", "fb1", "l1", "page", 7)], [*HEADER.split(",")])
+    sinks.write_csv(rows.coalesce(1), str(landing), compression="gzip")
+    scan(landing / "plain.csv", line(1, 3), line(2, 4))
+    name = next(landing.glob("*.csv.gz")).name
+    assert ingested(spark, tmp_path) == {("fb1", 7, name), ("fb2", 4, "plain.csv")}
+    row = ingest.stored_table(spark, str(tmp_path / "store")).where("facebook_link = 'fb1'").first()
+    assert (row["headline"], row["summary"]) == ('h "1"\n2', " s ")
+
+
 def test_a_version_without_manifest_does_not_count(spark, tmp_path):
     landing, store = tmp_path / "landing", tmp_path / "store"
     landing.mkdir()
