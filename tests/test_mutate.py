@@ -71,6 +71,19 @@ def test_any_bound_merges_alike(spark, batch_rows):
         assert sorted(found) == sorted((f"fb{k}", c, s) for k, c, s in wanted)
 
 
+@pytest.mark.parametrize("batch_rows", [1000, 5, 1])
+def test_new_rows_are_those_a_merge_puts_in(spark, batch_rows):
+    chance = random.Random(9)
+    pick = lambda n, name: [(chance.choice([None, *range(12)]), chance.randrange(5), name) for _ in range(n)]
+    keyed = lambda rows: frame(spark, rows).withColumn("facebook_link", F.expr("nullif(facebook_link, 'fbNone')"))
+    for held, new in ((pick(14, "a"), pick(14, "b")), ([], pick(14, "b")), (pick(14, "a"), [(k, -1, "b") for k in range(12)])):
+        target, batch = keyed(held), keyed(new)
+        merged = mutate.upsert_new_scans(target, batch, batch_rows).where("source = 'b'")
+        found = mutate.new_rows(target, batch, mutate.batch_keys(batch), batch_rows)
+        assert found.columns == schemas.NEWS_DATA.names
+        assert sorted(map(str, found.collect())) == sorted(map(str, merged.collect()))
+
+
 def test_loading_twice_changes_nothing(spark):
     target = frame(spark, [(1, 5, "a"), (2, 9, "a")])
     batch = frame(spark, [(1, 5, "b"), (2, 3, "b"), (3, 1, "b"), (3, 4, "b")]).drop("source")
